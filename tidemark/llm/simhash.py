@@ -6,8 +6,8 @@ Each segment is indexed under its one-wildcard variants (one bit of it deleted),
 Equality on the key finds the candidates, the Hamming distance verifies them.
 
 A bucket (one key) may hold a large group of near copies, so pairs within a bucket are never listed. First every
-member is compared with the bucket's smallest fingerprint; the links found are contracted to components. Only
-buckets that still hold several components are joined, the rows outside the component of the largest size against
+member is compared with two members of the bucket that a hash picks; the links found are contracted to components.
+Only buckets that still hold several components are joined, the rows outside the component of the largest size against
 the others, and only links between different components are kept. All links between classes are thereby respected.
 
 Null and empty texts have fingerprint 0, linked like any other. Rows with equal ids count as one document for the
@@ -82,14 +82,17 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, component) for distinct fingerprints ``fps(fp)``; component is the smallest fingerprint of the component."""
     index = fps.select("fp", F.explode(variant_keys(F.col("fp"))).alias("k"))
     bucket = Window.partitionBy("k")
-    index = index.select("k", "fp", F.min("fp").over(bucket).alias("pivot"), F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
+    # pivots by a hash of fingerprint and key: a large group has others in each of its buckets
+    dice = F.struct(F.xxhash64("fp", "k").alias("h"), "fp")
+    index = index.select("k", "fp", F.min(dice).over(bucket)["fp"].alias("low"), F.max(dice).over(bucket)["fp"].alias("high"), F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
     index = scratch.keep(index, "buckets")
-    stars = index.where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    stars = index.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).where((F.col("a") != F.col("b")) & near("a", "b"))
     labels = connected_components(scratch, stars)
 
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     named = scratch.keep(labels.join(sizes, "component").select(F.col("node").alias("fp"), "component", "size"), "labels")
-    rest = index.where("n > 2").join(named, "fp", "left").select("k", "fp", F.coalesce("component", "fp").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    rest = index.where("n > 3")  # of three, all pairs have been compared
+    rest = rest.join(named, "fp", "left").select("k", "fp", F.coalesce("component", "fp").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     ranked = F.struct("size", "label")
     rest = rest.select("k", "fp", "label", F.max(ranked).over(bucket).alias("top"), F.min(ranked).over(bucket).alias("low"))
     rest = scratch.keep(rest.where("top != low").select("k", "fp", "label", (F.col("label") == F.col("top.label")).alias("major")), "mixed")
