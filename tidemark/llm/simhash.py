@@ -86,7 +86,8 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     dice = F.struct(F.xxhash64("fp", "k").alias("h"), "fp")
     index = index.select("k", "fp", F.min(dice).over(bucket)["fp"].alias("low"), F.max(dice).over(bucket)["fp"].alias("high"), F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
     index = scratch.keep(index, "buckets")
-    stars = index.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).where((F.col("a") != F.col("b")) & near("a", "b"))
+    star = lambda pivot: index.where((F.col("fp") != F.col(pivot)) & near("fp", pivot)).select(F.col("fp").alias("a"), F.col(pivot).alias("b"))
+    stars = star("low").unionByName(star("high"))
     labels = connected_components(scratch, stars)
 
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
