@@ -30,7 +30,7 @@ from tidemark.llm._shared import bounded_batches
 #: Mean bytes of a chunk, as a power of two, and the most one may have.
 CHUNK_BITS, CHUNK_MOST = 10, 1 << 16
 #: Chunks and joins a worker remembers.
-MEMO = 24_000
+MEMO = 16_000
 
 
 def default_vocabulary() -> str:
@@ -54,8 +54,6 @@ class Codec:
     """Encoder and decoder of one byte-level BPE vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, vocab = spec["pre_tokenizer"], spec["model"]["vocab"]
@@ -67,20 +65,27 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("ids do not follow the order of the merges")
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.path, self.special = path, set(special)
+        self.names = set(special)
+        self._pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.path, self.special = path, special
         for s in special:
             ranks.pop(s.encode(), None)
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.bytes_of = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for b, i in [*ranks.items(), *((s.encode(), i) for s, i in special.items())]:
             self.bytes_of[i] = b
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.chunks: dict[bytes, tuple[list[int], list[int], list[int]]] = {}
-        self.joins: dict[bytes, list[int]] = {}
+        self.chunks: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.joins: dict[bytes, np.ndarray] = {}
         rng = np.random.default_rng(1)
         self.gear = rng.integers(0, 1 << 32, 256, dtype=np.uint32)
 
+    @functools.cached_property
+    def fast(self):
+        import tiktoken
+
+        ranks = {b: i for i, b in enumerate(self.bytes_of) if b and i not in self.special.values()}
+        return tiktoken.Encoding("vocabulary", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens=self.special)
+
     @functools.cached_property
     def slow(self):
         from tokenizers import Tokenizer
@@ -90,18 +95,15 @@ class Codec:
         t.no_padding()
         return t
 
-    def whole(self, raw: bytes) -> list[int]:
+    def whole(self, raw: bytes) -> np.ndarray:
         """Ids of one string, encoded in one go."""
         text = raw.decode("utf-8", "replace")
         try:
-            return self.fast.encode(text, allowed_special=self.special, disallowed_special=())
+            return self.fast.encode_to_numpy(text, allowed_special=self.names, disallowed_special=())
         except BaseException as e:  # the regex engine's panic on very long runs is no Exception
             if type(e).__name__ != "PanicException":
                 raise
-            return self.slow.encode(text, add_special_tokens=False).ids
-
-    def array(self, raw: bytes) -> np.ndarray:
-        return np.array(self.whole(raw), np.uint32)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -128,7 +130,7 @@ class Codec:
             cuts = np.unique(np.concatenate([cuts, extra[extra < len(data)]]))
         return cuts
 
-    def _chunk(self, chunk: bytes, first: int, last: int) -> tuple[list[int], list[int], list[int]]:
+    def _chunk(self, chunk: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids before the chunk's first certain border, between it and the last one, and after."""
         got = self.chunks.get(chunk)
         if got is None:
@@ -140,10 +142,10 @@ class Codec:
             if len(self.chunks) >= MEMO:
                 for old in [k for k, _ in zip(self.chunks, range(MEMO // 2))]:
                     del self.chunks[old]
-            got = self.chunks[chunk] = ids[:i], ids[i:j], ids[j:]
+            got = self.chunks[chunk] = ids[:i], ids[i:j], ids[j:]  # views of one array
         return got
 
-    def _join(self, raw: bytes) -> list[int]:
+    def _join(self, raw: bytes) -> np.ndarray:
         got = self.joins.get(raw)
         if got is None:
             got = self.whole(raw)
@@ -153,14 +155,14 @@ class Codec:
                 self.joins[raw] = got
         return got
 
-    def encode(self, raw: bytes) -> list[int]:
+    def encode(self, raw: bytes) -> np.ndarray:
         """Ids of a whole text, by chunk; if chunks can't be made to agree, by encoding all of it again."""
         try:
             return self._by_chunk(raw)
         except Disagreement:
             return self.whole(raw)
 
-    def _by_chunk(self, raw: bytes) -> list[int]:
+    def _by_chunk(self, raw: bytes) -> np.ndarray:
         if len(raw) < 1 << CHUNK_BITS:
             return self._join(raw)
         data = np.frombuffer(raw, np.uint8)
@@ -172,7 +174,7 @@ class Codec:
         certain = np.flatnonzero((data[1:] == 0x20) & solid) + 1
         start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(data)]])
         a, b = np.searchsorted(certain, start + 2, "left"), np.searchsorted(certain, end, "left") - 1
-        out: list[int] = []
+        out: list[np.ndarray] = []
         left = 0  # where the string to encode again starts
         n = len(start)
         for k, (s, e, i, j) in enumerate(zip(start.tolist(), end.tolist(), a.tolist(), b.tolist())):
@@ -181,17 +183,17 @@ class Codec:
             first, last = int(certain[i]), int(certain[j])
             head, body, tail = self._chunk(raw[s:e], first - s, last - s)
             if left == s:
-                out += head  # the string to join is this head alone, which starts at a certain border
+                out.append(head)  # the string to join is this head alone, which starts at a certain border
             else:
-                out += self._join(raw[left:first])
-            out += body
+                out.append(self._join(raw[left:first]))
+            out.append(body)
             left = last
             if k == n - 1:
-                out += tail
+                out.append(tail)
                 left = e
         if left < len(raw):
-            out += self._join(raw[left:])
-        return out
+            out.append(self._join(raw[left:]))
+        return np.concatenate(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -207,10 +209,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def id_lists(lists: list[list[int]]) -> pa.Array:
+def id_lists(lists: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+    flat = np.concatenate([np.zeros(0, np.uint32), *lists]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 

@@ -139,7 +139,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
         for b in batches:
             kind = b.schema.field(0).type
             for k, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1))):
-                a = np.append(c.array(raw), np.uint32(end_id))
+                a = np.append(c.whole(raw), np.uint32(end_id))
                 runs.append((len(keys), 0, len(a)))
                 keys.append(k)
                 ids.append(a)
