@@ -89,6 +89,12 @@ def test_wand_is_exact_and_prunes(seed, n_lists, k):
     want = sorted(((-total[d], int(d)) for d in np.flatnonzero(seen)))[:k]
     assert [(d, -s) for s, d in want] == [(d, s) for s, d in got]
     assert stats["scored"] <= seen.sum()
+    floor = -want[-1][0] if want else 0.0  # a floor drops nothing that reaches it
+    again = []
+    for p in lists:
+        p.at, p.doc = 0, int(p.docs[0])
+        again.append(p)
+    assert topk.wand(again, k, floor=floor) == got
 
 
 def test_wand_skips_blocks():

@@ -7,8 +7,9 @@ does not depend on the sharding.
 
 Searching: postings of the terms asked for are gathered by shard, with the queries that have any of them. Within a
 shard block-max WAND walks the postings document by document: it skips documents whose lists' maxima, and blocks
-whose block maxima, can't beat the k-th score so far. Each shard returns its own k best; the best of these are exact.
-Equal scores rank by id.
+whose block maxima, can't beat the k-th score so far. Each shard returns its own k best; the best of these are exact. The shards take part in three rounds, each of about
+five times as many as the round before; a round starts from the k-th score that the earlier ones found for a query,
+so that shards skip, and do not return, what can't be among the k best of all. Equal scores rank by id.
 
 Terms are the words of the text, A-Z lower-cased. Null and empty texts have no terms and match nothing, but count as
 documents. Rows without id are indexed and returned without id, after all others of equal score. Repeated rows are
@@ -18,7 +19,7 @@ separate documents.
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from tidemark.llm.bpe import raw_texts
 
 K1, B = 1.2, 0.75
 #: Words of a shard, postings of a block.
-SHARD, BLOCK = 1_500_000, 64
+SHARD, BLOCK = 6_000_000, 64
 NO_ID = 2**63 - 1
 _POST = np.dtype([("doc", "<u4"), ("tf", "<u4")])
 _DOCS = np.dtype([("id", "<i8"), ("n", "<u4")])
@@ -50,16 +51,15 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     names = ["shard", "term", "n", "total", "data"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
-    def flush(shard: int, ids: list[int], counts: list[Counter]) -> Iterator[pa.RecordBatch]:
+    def flush(shard: int, ids: list[int], sizes: list[int], terms: list[np.ndarray], tfs: list[np.ndarray], vocabulary: _Vocabulary) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        vocabulary = _Vocabulary()
-        terms = np.fromiter((vocabulary[t] for i in order for t in counts[i]), np.int64)
-        post = np.empty(len(terms), _POST)
-        post["doc"] = np.repeat(np.arange(len(order)), [len(counts[i]) for i in order])
-        post["tf"] = np.fromiter((c for i in order for c in counts[i].values()), np.uint32, len(terms))
+        post = np.empty(sum(map(len, terms)), _POST)
+        post["doc"] = np.repeat(np.arange(len(order)), [len(terms[i]) for i in order])
+        post["tf"] = np.concatenate([tfs[i] for i in order])
         docs = np.empty(len(order), _DOCS)
-        docs["id"], docs["n"] = [ids[i] for i in order], [sum(counts[i].values()) for i in order]
+        docs["id"], docs["n"] = [ids[i] for i in order], [sizes[i] for i in order]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([shard], [None], [len(order)], [int(docs["n"].sum())], [docs.tobytes()]), kinds)], names)
+        terms = np.concatenate([terms[i] for i in order])
         by_term = np.argsort(terms, kind="stable")
         post, sizes = post[by_term], np.bincount(terms, minlength=len(vocabulary))
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -73,18 +73,20 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([w.decode("utf-8", "replace") for w in words[at : at + n]]), size, size, blobs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, counts, words = TaskContext.get().partitionId() << 32, [], [], 0
+        shard, held, words = TaskContext.get().partitionId() << 32, ([], [], [], [], _Vocabulary()), 0
         for b in batches:
             for key, raw in zip(b.column(0).to_pylist(), raw_texts(b.column(1))):
                 own = raw.lower().split()
-                ids.append(NO_ID if key is None else key)
-                counts.append(Counter(own))
+                count, vocabulary = Counter(own), held[4]
+                row = (NO_ID if key is None else key, len(own), np.fromiter(map(vocabulary.__getitem__, count), np.int32, len(count)), np.fromiter(count.values(), np.uint32, len(count)))
+                for to, x in zip(held, row):
+                    to.append(x)
                 words += len(own)
                 if words >= SHARD:
-                    yield from flush(shard, ids, counts)
-                    shard, ids, counts, words = shard + 1, [], [], 0
-        if ids:
-            yield from flush(shard, ids, counts)
+                    yield from flush(shard, *held)
+                    shard, held, words = shard + 1, ([], [], [], [], _Vocabulary()), 0
+        if held[0]:
+            yield from flush(shard, *held)
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "shard bigint, term string, n bigint, total bigint, data binary")
 
@@ -104,7 +106,7 @@ def words_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def frequencies(indexed: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df) of the terms asked for, over all shards."""
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").distinct().hint("merge")
     return indexed.where("term is not null").select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
 
 
@@ -143,8 +145,11 @@ class Postings:
 _ROUND = 1 + 1e-12
 
 
-def wand(lists: list[Postings], k: int, stats: Counter | None = None) -> list[tuple[float, int]]:
-    """The k best (score, document), best first; equal scores by document. Scores add up in the order of ``lists``."""
+def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: float = 0.0) -> list[tuple[float, int]]:
+    """The k best (score, document) that score at least ``floor``, best first; equal scores by document.
+
+    Scores add up in the order of ``lists``.
+    """
     heap: list[tuple[float, int]] = []
     least = 0.0
     place = {id(p): i for i, p in enumerate(lists)}
@@ -154,7 +159,7 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None) -> list[tu
         bound, pivot = 0.0, None
         for i, p in enumerate(live):
             bound += p.most
-            if bound * _ROUND > least or len(heap) < k:
+            if bound * _ROUND >= floor and (bound * _ROUND > least or len(heap) < k):
                 pivot = i
                 break
         if pivot is None:
@@ -165,7 +170,7 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None) -> list[tu
         head = live[: pivot + 1]
         blocks = [p.block(doc) for p in head]
         ceiling = sum(p.block_most[b] for p, b in zip(head, blocks) if b < len(p.block_most))
-        if len(heap) == k and ceiling * _ROUND <= least:
+        if ceiling * _ROUND < floor or len(heap) == k and ceiling * _ROUND <= least:
             # no document up to the end of the nearest block can do it
             ends = [p.block_last[b] + 1 for p, b in zip(head, blocks) if b < len(p.block_last)]
             nxt = min([*ends, *([live[pivot + 1].doc] if pivot + 1 < len(live) else [])], default=NO_ID)
@@ -180,6 +185,8 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None) -> list[tu
             if stats is not None:
                 stats["scored"] += 1
             # documents come in rising order, so an equal score does not displace an earlier one
+            if score < floor:
+                continue
             if len(heap) < k:
                 heapq.heappush(heap, (score, -doc))
             elif score > heap[0][0]:
@@ -196,10 +203,15 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, id, score) for ``queries(query, term, df)``; ``indexed`` is a stored result of ``index``."""
     n, total = indexed.where("term is null").agg(F.sum("n"), F.sum("total")).first()
     n, mean = n or 0, max((total or 0) / max(n or 0, 1), 1e-9)
-    scratch = Scratch(indexed.sparkSession)
-    lists = scratch.keep(indexed.where("term is not null").join(queries.select("term").distinct(), "term", "left_semi").select("shard", "term", "data"), "lists")
-    asked = scratch.keep(queries.join(lists.select("shard", "term"), "term").select(F.col("shard").alias("at"), "query", "term", "df"), "asked")
-    used = lists.select("shard", "term", "data").unionByName(indexed.where("term is null").select("shard", "term", "data"))
+    spark = indexed.sparkSession
+    scratch = Scratch(spark)
+    # sort-merge joins at every size: the terms asked for grow with the input and have no bound to broadcast by
+    terms = queries.select("term").distinct().hint("merge")
+    turn = F.when(F.pmod(F.xxhash64("shard"), F.lit(25)) == 0, 0).when(F.pmod(F.xxhash64("shard"), F.lit(25)) < 5, 1).otherwise(2).alias("turn")
+    lists = scratch.keep(indexed.where("term is not null").join(terms, "term").select("shard", "term", "data", turn), "lists")
+    asked = queries.join(lists.select("shard", "term", "turn").hint("merge"), "term").groupBy(F.col("shard").alias("at"), "turn", "query")
+    asked = scratch.keep(asked.agg(F.collect_list(F.struct("term", "df")).alias("terms")), "asked")  # as many terms as a query has
+    used = lists.unionByName(indexed.where("term is null").select("shard", "term", "data", turn))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         posts, docs = {}, np.zeros(0, _DOCS)
@@ -209,18 +221,23 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             else:
                 posts[term] = np.frombuffer(data, _POST)
         norm = K1 * (1 - B + B * docs["n"] / mean)
-        wanted = defaultdict(list)
-        for query, term, df in zip(*(right.column(c).to_pylist() for c in ("query", "term", "df"))):
-            wanted[query].append((term, df))
         out = []
-        for query, terms in wanted.items():
-            for score, doc in wand([Postings(idf(n, df), posts[t], norm) for t, df in sorted(terms)], k):
+        for query, terms, floor in zip(*(right.column(c).to_pylist() for c in ("query", "terms", "floor"))):
+            terms = sorted((t["term"], t["df"]) for t in terms)
+            for score, doc in wand([Postings(idf(n, df), posts[t], norm) for t, df in terms], k, floor=floor):
                 out.append((query, int(docs["id"][doc]), score))
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
 
-    best = used.groupBy("shard").cogroup(asked.groupBy("at")).applyInArrow(run, "query bigint, id bigint, score double")
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    schema = "query bigint, id bigint, score double"
+    ranks = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank")
+    best = spark.createDataFrame([], schema + ", rank int")
+    for turn in range(3):
+        floor = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
+        right = asked.where(F.col("turn") == turn).join(floor, "query", "left").select("at", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+        left = used.where(F.col("turn") == turn).select("shard", "term", "data")
+        found = left.groupBy("shard").cogroup(right.groupBy("at")).applyInArrow(run, schema)
+        best = scratch.keep(best.drop("rank").unionByName(found).select("query", "id", "score", ranks).where(F.col("rank") <= k), "best")
     return best.select("query", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score")
 
 
