@@ -1,0 +1,131 @@
+import pytest
+
+from tidemark.schema.diff import diff_derivation, diff_domain
+from tidemark.schema.model import Type
+from tidemark.schema.parser import SchemaError, check, parse
+from tidemark.schema.text import format_schema
+
+DOMAIN = """
+//! Orders
+layer domain
+import "shared.schema"
+context Shared {
+  value Money { amount: decimal, currency: string } rules { NonNegative: amount >= 0, Iso: currency matches "^[A-Z]{3}$", }
+}
+context Orders {
+  enum Status { Pending, Paid, Cancelled { reason: string? } }  // a comment
+  value Note { text: string = "none", n: uint = 3, s: Status = Pending } rules { Short: len(text) <= 10 and not (n in [7, 8]) }
+  event Placed v1 { order_id: uuid, total: Shared.Money, lines: [Line] }
+  event Placed v2 { order_id: uuid, total: Shared.Money, lines: [Line], note: string, extra: int? } upcast from v1 { set note: "legacy" }
+  event Cancelled v1 { order_id: uuid, why: string? }
+  event Cancelled v2 { order_id: uuid, reason: string? } upcast from v1 { rename why as reason }
+  aggregate Order {
+    key order_id: uuid
+    stream "order-{order_id}"
+    entity Line { id line_id: uuid, qty: uint, tags: set<string>, prices: map<string, Shared.Money> }
+    events Placed, Cancelled
+  }
+}
+"""
+DERIVE = """
+layer derivation
+state Orders.Order { status: string, lines: map<uuid, string> } evolve wasm "a.wasm" export "evolve_order"
+projection Orders.Totals {
+  from Placed, Orders.Cancelled
+  fold wasm "a.wasm"
+  table totals { key order_id: uuid, total: decimal, status: string? }
+  table by_key { key a: string, key: int }
+}
+"""
+
+
+def test_parse_and_format():
+    d = parse(DOMAIN)
+    orders = d.contexts["Orders"]
+    assert check(d, parse(DERIVE)) == []
+    assert orders.events["Placed"][2].upcast.sets == {"note": "legacy"}
+    assert orders.aggregates["Order"].entities["Line"].id == "line_id"
+    assert orders.values["Note"].fields[1].default == 3
+    p = parse(DERIVE).projections["Orders.Totals"]
+    assert [f.name for f in p.tables["by_key"].keys] == ["a"] and p.tables["by_key"].columns[0].name == "key"
+    assert parse(DERIVE).states["Orders.Order"].snapshot_every == 100
+    for text in (DOMAIN, DERIVE):
+        once = format_schema(parse(text))
+        assert format_schema(parse(once)) == once and (diff_domain(parse(text), parse(once)), diff_derivation(parse(text), parse(once))) == ([], [])
+    assert str(parse(DOMAIN).contexts["Orders"].aggregates["Order"].entities["Line"].fields[3].type) == "map<string, Shared.Money>"
+    assert Type("list", (Type("int"),)).required() == Type("list", (Type("int"),))
+
+
+@pytest.mark.parametrize("bad", ["", "layer other", "layer domain context {", 'layer domain context A { value V { a: int, a: int } }', "layer domain context A { value V { a: [int]? } }", "layer domain context A { event E { } }", 'layer domain context A { value V { a: int } rules { R: a >> 1 } }', "layer domain $", 'layer domain context A {} context A {}'])
+def test_errors(bad):
+    with pytest.raises(ValueError):
+        parse(bad)
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "wrong"),
+    [
+        ("qty: uint", "qty: Nope", "unknown type"),
+        ("order-{order_id}", "order-{x}", "names its key"),
+        ("events Placed, Cancelled", "events Placed", "no aggregate owns"),
+        ("events Placed, Cancelled", "events Placed, Cancelled, Gone", "unknown event"),
+        ('{ set note: "legacy" }', "{ }", "nothing fills it"),
+        ("set<string>", "set<bytes>", "bytes"),
+        ("set<string>", "set<Status>", "scalars"),
+        ("Cancelled v2", "Cancelled v3", "without gaps"),
+        ("key order_id: uuid\n", "key order_id: uuid?\n", "required scalar"),
+    ],
+)
+def test_checks(old, new, wrong):
+    assert old in DOMAIN
+    assert any(wrong in x for x in check(parse(DOMAIN.replace(old, new))))
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "kind", "effect"),
+    [
+        ("why: string? }", "why: string?, at: timestamp }", "field_added", "breaking"),
+        ("why: string? }", "why: string?, at: timestamp? }", "field_added", "compatible"),
+        ("order_id: uuid, why: string?", "order_id: uuid", "field_removed", "compatible"),
+        ("qty: uint,", "", "field_removed", "breaking"),
+        ("qty: uint,", "qty: uint?,", "type_changed", "compatible"),
+        ("extra: int?", "extra: int", "type_changed", "breaking"),
+        ("Paid,", "", "variant_removed", "breaking"),
+        ("Paid,", "Paid, Sent,", "variant_added", "compatible"),
+        ("amount >= 0", "amount >= 1", "rules_changed", "compatible"),
+        ("order-{order_id}", "o-{order_id}", "stream_changed", "breaking"),
+        ("id line_id: uuid, qty: uint", "id qty: uint, line_id: uuid", "entity_id_changed", "breaking"),
+        ('set note: "legacy"', 'set note: "old"', "upcast_changed", "breaking"),
+    ],
+)
+def test_domain_diff(old, new, kind, effect):
+    assert old in DOMAIN
+    changes = diff_domain(parse(DOMAIN), parse(DOMAIN.replace(old, new)))
+    assert (kind, effect) in {(c.kind, c.effect) for c in changes}
+    if kind == "upcast_changed":
+        assert {c.effect for c in diff_domain(parse(DOMAIN), parse(DOMAIN.replace(old, new)), lambda f: False)} == {"compatible"}
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "kind", "action"),
+    [
+        ("from Placed, Orders.Cancelled", "from Placed", "sources_changed", "rebuild"),
+        ("total: decimal,", "", "column_removed", "rebuild"),
+        ("total: decimal,", "total: int,", "column_retyped", "rebuild"),
+        ("total: decimal,", "total: decimal, n: int,", "column_added", "rebuild"),
+        ("total: decimal,", "total: decimal, n: int?,", "column_added", None),
+        ("key order_id: uuid,", "key order_id: string,", "key_changed", "rebuild"),
+        ("table by_key { key a: string, key: int }", "", "table_removed", "drop"),
+        ("status: string, lines", "status: int, lines", "state_changed", "clear_snapshots"),
+        ('fold wasm "a.wasm"', 'fold wasm "b.wasm"', "code_changed", None),
+    ],
+)
+def test_derivation_diff(old, new, kind, action):
+    assert old in DERIVE
+    assert (kind, action) in {(c.kind, c.action) for c in diff_derivation(parse(DERIVE), parse(DERIVE.replace(old, new)))}
+
+
+def test_error_has_a_line():
+    with pytest.raises(SchemaError) as e:
+        parse("layer domain\ncontext A {\n  value V { a int }\n}")
+    assert e.value.line == 3
