@@ -217,6 +217,33 @@ class LogStore:
             keys = [name]
         self._commit({**m, "n": m["n"] + 1, "head": cut, "files": files, "keys": keys, "generation": m["generation"] + 1, "cut": cut})
 
+    def replication_chunk(self, start: int, last_event_id: str | None = None, records: int = 1024) -> dict:
+        """About ``records`` events from ``start``, to the end of a batch, with the keys they wrote."""
+        self.divergence(start, last_event_id)
+        m = self.manifest()
+        near = self.events(start, start + records)
+        end = near.where("last_in_batch").agg(F.max("position")).first()[0]
+        if end is None:  # one batch is longer than the chunk
+            end = self.events(start).where("last_in_batch").agg(F.min("position")).first()[0]
+        stop = start if end is None else end + 1
+        keys = self.spark.read.schema(KEYS).parquet(*[f"{self.path}/keys/{k}" for k in m["keys"]]) if m["keys"] else self.spark.createDataFrame([], KEYS)
+        return {"log_id": m["log_id"], "start": start, "stop": stop, "events": self.events(start, stop), "keys": keys.where((F.col("position") >= start) & (F.col("position") < stop))}
+
+    def apply_chunk(self, chunk: dict) -> int:
+        """Append a chunk of the same log that starts at this log's head; returns the new head."""
+        m = self.manifest()
+        if chunk["log_id"] != m["log_id"] or chunk["start"] != m["head"]:
+            raise FailedPrecondition("the chunk does not continue this log")
+        if chunk["stop"] > chunk["start"]:
+            self._add(m, chunk["events"], chunk["stop"] - chunk["start"], [tuple(r) for r in chunk["keys"].collect()])
+        return self.head
+
+    def health(self) -> DataFrame:
+        """One row: what the manifest says."""
+        m = self.manifest()
+        row = (m["log_id"], m["head"], m["epoch"], m["generation"], m["cut"], len(m["files"]), m["fenced"])
+        return self.spark.createDataFrame([row], "log_id string, head bigint, epoch bigint, generation bigint, cut bigint, folders bigint, fenced boolean")
+
     def backup(self, dest: str, base_head: int = 0) -> dict:
         """Copy events [base_head, head) and all keys; with base_head 0 a full backup."""
         m = self.manifest()
