@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.errors import AlreadyExists, FailedPrecondition, Failure, InvalidArgument, NotFound
+from tidemark.functions.workers import reach
 from tidemark.sources.store import Event, LogStore, token
 from tidemark.streaming.runner import Runner
 
@@ -251,6 +252,7 @@ class ProcessRunner:
                 out.append(("state", key[0], None, json.dumps(state), json.dumps(timers)))
             return pd.DataFrame(out, columns=["kind", "pkey", "id", "body", "timers"])
 
+        reach(self.spark)
         name = f"rounds/{uuid.uuid4().hex}"
         new = self.instances().groupBy("pkey").cogroup(triggers.groupBy("pkey")).applyInPandas(react, schema)
         new.write.parquet(f"{self.path}/{name}/all")
