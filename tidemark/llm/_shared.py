@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.workers import reach
+
 #: Bytes of one Arrow batch handed to Python; long texts then come a few at a time.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2048
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes, whatever the length of the texts."""
+    """Keep Arrow batches small in bytes, whatever the length of the texts; called before every use of Python workers."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -266,7 +266,9 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, buckets: int | None =
     return marks.groupBy("part").applyInArrow(merge, "_key bigint, _sum bigint, spans array<struct<start: bigint, stop: bigint>>")
 
 
-@F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+_CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+
+
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, n_words, n_removed = [], [], []
     for raw, own in zip(raw_texts(text), spans.to_pylist()):
@@ -291,7 +293,7 @@ def with_cut(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     spans = repeated_windows(docs.select(order.alias("_key"), total.alias("_sum"), whole.alias("_text")), size)
     spans = spans.toDF("__key", "__sum", "__spans")
     both = docs.withColumns({"__key": order, "__sum": total}).join(spans, ["__key", "__sum"], "left")
-    return both.withColumn("__cut", _cut(whole, F.col("__spans")))
+    return both.withColumn("__cut", F.arrow_udf(_cut, _CUT)(whole, F.col("__spans")))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
