@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import by_position, running
+
 RESETS = ("upsert", "delete")
 
 
@@ -63,13 +65,18 @@ def last_n(ops: DataFrame, keys: list[str], n: int, value: str = "value", order:
     return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("items"))
 
 
-def first_underflow(ops: DataFrame, keys: list[str], value: str = "value", order: str = "ord") -> DataFrame:
-    """The first order at which an unsigned column would fall below 0, within any segment between resets."""
-    line = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = F.sum(F.col("op").isin(*RESETS, "set").cast("int")).over(line)
+def first_underflow(ops: DataFrame, keys: list[str], value: str = "value", order: str = "ord", bucket: Column | None = None) -> DataFrame:
+    """The first order at which an unsigned column would fall below 0, within any segment between resets.
+
+    The value at an op is the running sum less what that sum was just before the last reset.
+    """
+    bucket = by_position(order) if bucket is None else bucket
     amount = F.when(F.col("op") == "delete", F.lit(0)).otherwise(F.col(value))
-    run = F.sum(amount).over(Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ops.withColumn("_seg", seg).withColumn("_run", run).where("_run < 0").groupBy(*keys).agg(F.min(order).alias("first_failure"))
+    total = running(ops.withColumn("_amount", amount), keys, [order], bucket, sums={"_sum": F.col("_amount")})
+    dropped = F.when(F.col("op").isin(*RESETS, "set"), F.col("_sum") - F.coalesce("_amount", F.lit(0)))
+    based = running(total, keys, [order], bucket, lasts={"_base": dropped})
+    below = F.col("_sum") - F.coalesce("_base", F.lit(0)) < 0
+    return based.where(below).groupBy(*keys).agg(F.min(order).alias("first_failure"))
 
 
 def sequential(ops: DataFrame, keys: list[str], start: Column, step, order: str = "ord") -> DataFrame:

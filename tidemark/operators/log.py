@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import by_position, running
+
 
 class PositionOutOfRange(ValueError):
     pass
@@ -30,8 +32,10 @@ def read_all_backward(log: DataFrame, start: int, limit: int) -> DataFrame:
 
 def read_stream(log: DataFrame, stream: str, start: int | None = None, backward: bool = False, limit: int = 0) -> DataFrame:
     """One stream by version; ``limit`` 0: all. The stream filter reaches the scan before versions are numbered."""
-    version = F.row_number().over(Window.partitionBy("stream_id").orderBy("position")) - F.lit(1)
-    own = log.where(F.col("stream_id") == stream).withColumn("stream_version", version)
+    own = log.where(F.col("stream_id") == stream)
+    if "stream_version" not in own.columns:
+        own = running(own, ["stream_id"], ["position"], by_position(), sums={"stream_version": F.lit(1).cast("long")})
+        own = own.withColumn("stream_version", F.col("stream_version") - 1)
     if start is not None:
         own = own.where(F.col("stream_version") <= start if backward else F.col("stream_version") >= start)
     own = own.orderBy(F.desc("stream_version") if backward else "stream_version")
@@ -95,9 +99,9 @@ def expected_version(appends: DataFrame, heads: DataFrame) -> DataFrame:
     return both.withColumn("outcome", F.when(ok, "ok").otherwise("wrong_expected_version"))
 
 
-def as_of(events: DataFrame, key: str, order: str, value: Column) -> Column:
-    """The value a key's row had before this event."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def as_of(events: DataFrame, key: str, value: Column, name: str, order: str = "position") -> DataFrame:
+    """The events with ``name``: the value that the key's row had before each event."""
+    return running(events, [key], [order], by_position(order), lasts={name: value}, before=True)
 
 
 def get(model: DataFrame, **key: object) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, values
 from tidemark.operators import fold, log
+from tidemark.operators.running import running
 from tidemark.plans import orders
 from tidemark.sources.events import activity_log, dense_positions, order_log, table, with_versions
 
@@ -260,7 +261,7 @@ def projection_customer_orders(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {A} SELECT position, last_value(CASE WHEN name = 'signup' THEN k END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS owner FROM a")
 def asof_owner_lookup(spark: SparkSession, sf: str) -> DataFrame:
     a = activity_log(spark, sf)
-    return a.select("position", log.as_of(a, "user_id", "position", F.when(F.col("name") == "signup", F.col("k"))).alias("owner"))
+    return log.as_of(a.select("position", "user_id", "name", "k"), "user_id", F.when(F.col("name") == "signup", F.col("k")), "owner").select("position", "owner")
 
 
 @query("""SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN n > 0 AND o_orderstatus = 'O' THEN 'shipped' WHEN n > 0 THEN 'prepared' ELSE 'requested' END AS state, coalesce(n, 0) AS n_events
@@ -300,10 +301,10 @@ def occ_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, count(*) FILTER (o_orderstatus <> 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM orders)
     SELECT o_orderkey AS order_id, open AS open_before, CASE WHEN open >= 5 THEN 'MAX_OPEN_ORDERS' ELSE 'accepted' END AS outcome FROM r""")
 def invariant_max_open(spark: SparkSession, sf: str) -> DataFrame:
-    line = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    open_before = F.count(F.when(F.col("o_orderstatus") != "F", 1)).over(line)
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), open_before.alias("open_before"))
-    return rows.withColumn("outcome", F.when(F.col("open_before") >= 5, "MAX_OPEN_ORDERS").otherwise("accepted"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate", "o_orderstatus")
+    is_open = F.when(F.col("o_orderstatus") != "F", F.lit(1).cast("long"))
+    rows = running(o, ["o_custkey"], ["o_orderdate", "order_id"], F.trunc("o_orderdate", "month"), sums={"open_before": is_open}, before=True)
+    return rows.select("order_id", "open_before", F.when(F.col("open_before") >= 5, "MAX_OPEN_ORDERS").otherwise("accepted").alias("outcome"))
 
 
 @query("SELECT coalesce(min(event_id) FILTER (ts > TIMESTAMP '2024-01-03'), max(event_id) + 1) AS cut FROM events")

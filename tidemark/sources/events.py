@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import by_position, running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,8 +36,9 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_versions(log: DataFrame) -> DataFrame:
-    """Dense 0-based version of each event in its stream."""
-    return log.withColumn("stream_version", F.row_number().over(Window.partitionBy("stream_id").orderBy("position")) - F.lit(1))
+    """Dense 0-based version of each event in its stream; a stream's events are counted in buckets of positions."""
+    numbered = running(log, ["stream_id"], ["position"], by_position(), sums={"stream_version": F.lit(1).cast("long")})
+    return numbered.withColumn("stream_version", F.col("stream_version") - 1)
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:

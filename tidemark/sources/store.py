@@ -151,19 +151,26 @@ class LogStore:
     def append_frame(self, rows: DataFrame, epoch: int | None = None) -> int:
         """Append many events as one batch each: ``rows(ord, stream_id, family, type_version, recorded_at_nanos, payload)``.
 
-        Positions follow ``ord``; a window over range buckets would be needed for more rows than one task sorts, which
-        is what dense_positions in the event sources does.
+        The rows are staged in ranges of ``ord``; positions and versions then follow from counts per range, so that no
+        task sorts more than a range.
         """
-        from pyspark.sql import Window
+        from tidemark.operators.running import running
+        from tidemark.sources.events import dense_positions
 
         m = self.manifest()
         self._writable(m, epoch)
         heads = self.events().groupBy("stream_id").agg(F.max("stream_version").alias("_v"))
-        n = F.row_number().over(Window.orderBy("ord")) - 1
-        own = F.row_number().over(Window.partitionBy("stream_id").orderBy("ord"))
-        out = rows.withColumn("position", n + F.lit(m["head"])).withColumn("_o", own).join(heads, "stream_id", "left")
+        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
+        ranges = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartitionByRange(ranges, "ord").withColumn("_range", F.spark_partition_id()).write.parquet(staged)
+        ranged = self.spark.read.parquet(staged)
+        own = running(ranged, ["stream_id"], ["ord"], F.col("_range"), sums={"_o": F.lit(1).cast("long")})
+        out = dense_positions(own, F.col("_range"), "ord").withColumn("position", F.col("position") + F.lit(m["head"])).join(heads, "stream_id", "left")
         out = out.select(F.col("position").cast("long").alias("position"), F.col("position").cast("long").alias("batch_id"), F.lit(True).alias("last_in_batch"), F.expr("uuid()").alias("event_id"), "stream_id", (F.coalesce("_v", F.lit(-1)) + F.col("_o")).cast("long").alias("stream_version"), "family", "type_version", "recorded_at_nanos", "payload", F.lit("{}").alias("metadata"))
-        return self._add(m, out, None, [])
+        try:
+            return self._add(m, out, None, [])
+        finally:
+            self.fs.delete(self._jpath(staged), True)
 
     def _writable(self, m: dict, epoch: int | None) -> None:
         if m["fenced"]:
