@@ -67,6 +67,28 @@ def match(template: str, stream: Column, kind: str = "string") -> Column:
     return F.when(good, key)
 
 
+def key_bytes(kind: str, key: Column) -> Column:
+    """A key field as bytes that compare as its values do; a key of several fields is their concatenation.
+
+    Text ends with a zero byte, whole numbers are big-endian (signed ones with the sign flipped), a uuid is its 16
+    bytes, a timestamp its nanoseconds as a signed number, a bool one byte.
+    """
+    if kind == "uuid":
+        return F.unhex(F.replace(key, F.lit("-"), F.lit("")))
+    if kind == "bool":
+        return F.unhex(F.when(key, "01").otherwise("00"))
+    if kind == "timestamp":
+        return key_bytes("int", F.unix_micros(key) * 1000)
+    if kind == "int":
+        return F.unhex(F.lpad(F.hex(key.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    if kind == "uint":
+        high, low = F.floor(key.cast("decimal(20,0)") / F.lit(2**32)), F.pmod(key.cast("decimal(20,0)"), F.lit(2**32))
+        return F.unhex(F.concat(F.lpad(F.hex(high.cast("long")), 8, "0"), F.lpad(F.hex(low.cast("long")), 8, "0")))
+    if kind == "string":
+        return F.concat(F.encode(key, "UTF-8"), F.unhex(F.lit("00")))
+    raise ValueError(f"{kind} is no key type")
+
+
 def event_ref(text: Column) -> Column:
     """struct(context, name, version) of ``Context.Name[@vN]``; null if malformed."""
     form = r"^([A-Za-z]\w*)\.([A-Za-z]\w*)(?:@v([1-9]\d*))?$"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import rules, values
-from tidemark.operators import fold, log
+from tidemark.functions import rules, upcasts, values
+from tidemark.operators import fold, log, mutations
 from tidemark.operators.running import running
 from tidemark.plans import orders
+from tidemark.schema.parser import parse
 from tidemark.sources.events import activity_log, dense_positions, order_log, table, with_versions
 
 QUERIES: dict = {}
@@ -336,6 +337,52 @@ def snapshot_plus_replay_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("user_id").agg(F.sum("total").cast("double").alias("total"), F.sum("n").alias("n"), F.max("last_position").alias("last_position"))
 
 
+#: The events table's payloads, {"k": n}, in two versions: the second calls k an amount and adds a note.
+ACTIVITY = """
+layer domain
+context Activity {
+  event purchase v1 { k: int }
+  event purchase v2 { k: int, note: string } upcast from v1 { set note: "legacy" }
+  event purchase v3 { amount: int, note: string = "none", currency: string = "EUR" } upcast from v2 { rename k as amount }
+}
+"""
+
+
+@query(f"WITH {A} SELECT position, k AS amount, CASE WHEN type_version = 1 THEN 'legacy' ELSE 'none' END AS note, 'EUR' AS currency FROM a WHERE family = 'Activity.purchase'")
+def typed_view_purchase(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of every version as columns of the latest: one scan, no Python."""
+    view = upcasts.typed_view(activity_log(spark, sf), parse(ACTIVITY), "Activity.purchase")
+    return view.select("position", "event.amount", "event.note", "event.currency")
+
+
+@query(f"WITH {A} SELECT position, to_hex(encode(name)) || '00' || printf('%016X', CAST(k AS HUGEINT) - 50 + 9223372036854775808) AS key_hex FROM a")
+def key_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """Compound keys as bytes that sort like (name, k - 50)."""
+    key = F.concat(values.key_bytes("string", F.col("name")), values.key_bytes("int", F.col("k") - 50))
+    return activity_log(spark, sf).select("position", F.hex(key).alias("key_hex"))
+
+
+def _basket(event: dict, get_row) -> list[mutations.Row]:
+    row, key = get_row((event["user_id"],)), (event["user_id"],)
+    if event["name"] == "error":
+        # what the row holds decides: an empty basket is removed
+        return [mutations.Row(key).delete() if row is None or not row["items"] else mutations.Row(key).truncate_back("items", len(row["items"]) - 1)]
+    return [mutations.Row(key).push("items", event["k"]).add("pushed", 1)] if event["name"] == "purchase" else []
+
+
+@query(f"""WITH RECURSIVE {A}, o AS (SELECT user_id, k, name, row_number() OVER (PARTITION BY user_id ORDER BY position) AS n FROM a WHERE name IN ('error', 'purchase')),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT[]) AS l, CAST(0 AS BIGINT) AS c FROM o WHERE n = 1
+      UNION ALL SELECT f.user_id, f.n + 1, CASE WHEN o.name = 'purchase' THEN list_append(coalesce(f.l, CAST([] AS BIGINT[])), o.k) WHEN len(coalesce(f.l, CAST([] AS BIGINT[]))) = 0 THEN NULL ELSE f.l[2:] END,
+        CASE WHEN o.name = 'purchase' THEN f.c + 1 WHEN len(coalesce(f.l, CAST([] AS BIGINT[]))) = 0 THEN 0 ELSE f.c END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1),
+    g AS (SELECT user_id, arg_max({{'l': l, 'c': c}}, n) AS s FROM f GROUP BY user_id)
+    SELECT user_id, array_to_string(s.l, ',') AS items, s.c AS pushed FROM g WHERE s.l IS NOT NULL""")
+def project_with_get_row(spark: SparkSession, sf: str) -> DataFrame:
+    """A projection step in Python that reads the row it changes: scopes in parallel, events of a scope in order."""
+    log_ = activity_log(spark, sf).where(F.col("name").isin("error", "purchase")).select("position", "user_id", "name", "k")
+    rows = mutations.project(log_, F.col("user_id"), _basket, ["user_id"], {"items": "list", "pushed": "number"}, "user_id bigint, items array<bigint>, pushed bigint")
+    return rows.select("user_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "pushed")
+
+
 @query("SELECT o_orderkey AS order_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total, CASE WHEN o_orderstatus = 'F' THEN 'Cancelled' ELSE 'Pending' END AS status FROM orders WHERE o_orderkey = 42")
 def query_get(spark: SparkSession, sf: str) -> DataFrame:
     return log.get(projection_order_totals(spark, sf), order_id=42)
