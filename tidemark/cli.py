@@ -1,4 +1,4 @@
-"""Command line: schema check/fmt/diff, and a log store's reads, writes and administration.
+"""Command line: schema check/fmt/diff, a log store's reads, writes and administration, and a node's verbs.
 
 Exit codes: 0 done, 1 refused or failed, 2 wrong usage. Rows are printed as one JSON object per line.
 """
@@ -80,6 +80,37 @@ def store(args) -> int:
     return 0
 
 
+def node(args) -> int:
+    from tidemark.streaming.node import load
+
+    n = load(_spark(), args.node, args.path)
+    if args.what == "exec":
+        print(n.exec(args.command, args.key, json.loads(args.payload), args.idempotency))
+    elif args.what == "get":
+        row, at = n.get(args.name, json.loads(args.key), args.token)
+        print(json.dumps({"row": row, "token": at}, default=str))
+    elif args.what == "scan":
+        _show(n.scan(args.name, json.loads(args.prefix), args.limit, args.token)[0])
+    elif args.what == "aggregate":
+        state, version, at = n.aggregate(args.name, args.key)
+        print(json.dumps({"state": state, "version": version, "token": at}, default=str))
+    elif args.what == "process":
+        _show(n.process(args.name))
+    elif args.what == "snapshots":
+        for s in n.snapshots(args.name):
+            print(json.dumps(s))
+    elif args.what == "snapshot":
+        print(json.dumps(n.snapshot(args.name)))
+    elif args.what == "drop-snapshot":
+        n.drop_snapshot(args.name, args.snapshot)
+    elif args.what == "rebuild":
+        print(n.rebuild(args.name, args.snapshot))
+    elif args.what == "health":
+        for row in n.health():
+            print(json.dumps(row))
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark")
     kinds = top.add_subparsers(dest="group", required=True)
@@ -91,15 +122,31 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path")
     whats = p.add_subparsers(dest="what", required=True)
     p.set_defaults(run=store)
-    options = {
+    q = kinds.add_parser("node")
+    q.add_argument("node", help="file.py:function")
+    q.add_argument("path")
+    verbs = q.add_subparsers(dest="what", required=True)
+    q.set_defaults(run=node)
+    _add(verbs, {
+        "exec": {"command": str, "key": str, "payload": str, "--idempotency": None},
+        "get": {"name": str, "key": str, "--token": None}, "scan": {"name": str, "--prefix": "{}", "--limit": 0, "--token": None},
+        "aggregate": {"name": str, "key": str}, "process": {"name": str}, "health": {},
+        "snapshots": {"name": str}, "snapshot": {"name": str}, "drop-snapshot": {"name": str, "snapshot": str}, "rebuild": {"name": str, "--snapshot": None},
+    })
+    _add(whats, {
         "init": {}, "heads": {}, "fence": {}, "health": {},
         "append": {"stream": str, "family": str, "payload": str, "--expected": "any", "--key": None},
         "all": {"--start": 0, "--limit": 100}, "stream": {"stream": str, "--start": 0, "--limit": 100, "--backward": False},
         "type": {"family": str, "--start": 0, "--limit": 100}, "streams": {"--prefix": ""},
         "truncate": {"cut": int}, "backup": {"dest": str, "--base": 0}, "restore": {"source": str},
-    }
+    })
+    return top
+
+
+def _add(verbs, options: dict[str, dict]) -> None:
+    """Sub-commands with their arguments: a type for those that are needed, a default for the others."""
     for what, own in options.items():
-        q = whats.add_parser(what)
+        q = verbs.add_parser(what)
         for name, kind in own.items():
             if not name.startswith("--"):
                 q.add_argument(name, type=kind)
@@ -107,7 +154,6 @@ def parser() -> argparse.ArgumentParser:
                 q.add_argument(name, action="store_true")
             else:
                 q.add_argument(name, default=kind, type=type(kind) if kind is not None else str)
-    return top
 
 
 def main(argv: list[str] | None = None) -> int:

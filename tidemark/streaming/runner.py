@@ -8,6 +8,7 @@ is skipped, so a retried micro-batch changes nothing. An error marks the runner
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,10 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.errors import FailedPrecondition, Unavailable
+from tidemark.functions.errors import FailedPrecondition, NotFound, Unavailable
 from tidemark.sources.store import SCHEMA, LogStore, parse_token, token
 
 
+#: Seconds that a read waits for the position of its token, unless told otherwise, and at most.
+WAIT, LONGEST_WAIT = 5.0, 30.0
+
+
 @dataclass
 class Projection:
     """``fold`` turns events into rows by key, ``merge`` an old and a new set of rows into one."""
@@ -57,22 +62,89 @@ class Runner:
         c = self.checkpoint()
         return self.spark.read.schema(self.projection.schema).parquet(f"{self.path}/{c['dir']}") if c["dir"] else self.spark.createDataFrame([], self.projection.schema)
 
+    def _stale(self, c: dict) -> bool:
+        """Whether the log no longer holds the last event that a checkpoint has seen."""
+        if c["next"] > self.store.head:
+            return True
+        if not c["next"] or not c["last_event_id"]:
+            return False
+        own = self.store.events(c["next"] - 1, c["next"]).select("event_id").first()
+        return own is None or own[0] != c["last_event_id"]
+
     def resume(self) -> dict:
         """The checkpoint to go on from: reset if a cut or another log took away what it has seen."""
         c, m = self.checkpoint(), self.store.manifest()
-        stale = c["next"] > m["head"]
-        if not stale and c["next"] and c["last_event_id"]:
-            own = self.store.events(c["next"] - 1, c["next"]).select("event_id").first()
-            stale = own is None or own[0] != c["last_event_id"]
-        if stale:
+        if self._stale(c):
             c = {"n": c["n"] + 1, "next": 0, "last_event_id": None, "generation": m["generation"], "dir": None}
             self._commit(c)
         return c
 
-    def rebuild(self) -> None:
+    def rebuild(self, snapshot: str | None = None) -> int:
+        """Fold the log again, from the start or from a snapshot that still holds; returns the next position."""
+        c = self.checkpoint()
+        base = {"next": 0, "last_event_id": None, "dir": None}
+        if snapshot is not None:
+            base = next((s for s in self.snapshots() if s["name"] == snapshot), None)
+            if base is None:
+                raise NotFound(f"no snapshot {snapshot}")
+            if self._stale(base):
+                raise FailedPrecondition("the snapshot has seen events that the log no longer holds")
+        self.status, self.error = "REBUILDING", None
+        self._commit({**c, "n": c["n"] + 1, **{k: base[k] for k in ("next", "last_event_id", "dir")}})
+        return self.catch_up()
+
+    # ---- snapshots: versions of the model that are kept by name
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._jpath(f"{self.path}/{folder}")
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def snapshots(self) -> list[dict]:
+        """The snapshots, oldest position first."""
+        out = []
+        for name in self._names("snapshots"):
+            stream = self.fs.open(self._jpath(f"{self.path}/snapshots/{name}"))
+            try:
+                out.append(json.loads(bytes(stream.readAllBytes()).decode()))
+            finally:
+                stream.close()
+        return sorted(out, key=lambda s: (s["next"], s["n"]))
+
+    def snapshot(self) -> dict:
+        """Keep the present version; it costs a small file, as versions are never written again."""
+        c = self.checkpoint()
+        about = {**c, "name": f"{c['next']:012d}-{c['n']:012d}"}
+        if all(s["name"] != about["name"] for s in self.snapshots()):
+            out = self.fs.create(self._jpath(f"{self.path}/snapshots/{about['name']}.json"), False)
+            out.write(bytearray(json.dumps(about).encode()))
+            out.close()
+        return about
+
+    def drop_snapshot(self, name: str) -> None:
+        if all(s["name"] != name for s in self.snapshots()):
+            raise NotFound(f"no snapshot {name}")
+        self.fs.delete(self._jpath(f"{self.path}/snapshots/{name}.json"), False)
+
+    def vacuum(self) -> int:
+        """Delete the versions that neither the checkpoint nor a snapshot names, and older checkpoints; no query may
+        be reading them, and no batch may be running. Returns how many versions went."""
         c = self.checkpoint()
-        self._commit({**c, "n": c["n"] + 1, "next": 0, "last_event_id": None, "dir": None})
-        self.catch_up()
+        kept = {s["dir"] for s in [c, *self.snapshots()]}
+        gone = [n for n in self._names("versions") if f"versions/{n}" not in kept]
+        for n in gone:
+            self.fs.delete(self._jpath(f"{self.path}/versions/{n}"), True)
+        for n in self._names("checkpoints")[:-1]:
+            self.fs.delete(self._jpath(f"{self.path}/checkpoints/{n}"), False)
+        return len(gone)
+
+    def drop(self) -> None:
+        """Delete the read model with its checkpoint and snapshots."""
+        self.fs.delete(self._jpath(self.path), True)
+        self.status, self.error = "STARTING", None
+
+    def health(self) -> dict:
+        c, head = self.checkpoint(), self.store.head
+        return {"name": self.projection.name, "status": self.status, "error": self.error, "next": c["next"], "head": head, "behind": max(head - c["next"], 0), "snapshots": len(self.snapshots())}
 
     def apply(self, events: DataFrame, end: int) -> bool:
         """Fold the events from the checkpoint up to ``end``; False if that was done before."""
@@ -118,17 +190,21 @@ class Runner:
 
     # ---- reads
 
-    def _wait(self, min_token: str | None) -> None:
+    def _wait(self, min_token: str | None, seconds: float = WAIT) -> None:
         if self.status == "FAILED":
             raise FailedPrecondition(self.error or "the projection failed")
         if min_token:
             log_id, _, position = parse_token(min_token)
             if log_id != self.store.manifest()["log_id"]:
                 raise FailedPrecondition("the token is of another log")
-            if self.checkpoint()["next"] <= position:
-                self.catch_up()
-            if self.checkpoint()["next"] <= position:
-                raise Unavailable("the projection is behind the token")
+            until = time.monotonic() + min(seconds, LONGEST_WAIT)
+            while self.checkpoint()["next"] <= position:
+                if self.store.head > position:
+                    self.catch_up()
+                elif time.monotonic() >= until:
+                    raise Unavailable("the projection is behind the token")
+                else:
+                    time.sleep(0.1)
 
     def get(self, min_token: str | None = None, **key: object) -> tuple[dict | None, str]:
         """The row with a key (None if absent) and a token for reads that must not be older."""
@@ -136,5 +212,15 @@ class Runner:
 
         self._wait(min_token)
         row = get(self.table(), **key).first()
+        return row and row.asDict(True), self._token()
+
+    def scan(self, keys: list[str], prefix: dict[str, object] | None = None, limit: int = 0, min_token: str | None = None) -> tuple[DataFrame, str]:
+        """Rows whose leading key fields equal ``prefix``, in key order, and a token; limit 0 means 100."""
+        from tidemark.operators.log import scan
+
+        self._wait(min_token)
+        return scan(self.table(), keys, prefix, limit), self._token()
+
+    def _token(self) -> str:
         m = self.store.manifest()
-        return row and row.asDict(True), token(m["log_id"], m["epoch"], max(self.checkpoint()["next"] - 1, 0))
+        return token(m["log_id"], m["epoch"], max(self.checkpoint()["next"] - 1, 0))
