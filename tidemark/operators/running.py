@@ -16,7 +16,7 @@ BUCKET = 1 << 20
 
 
 def by_position(order: str = "position", width: int = BUCKET) -> Column:
-    return F.floor(F.col(order) / F.lit(width))
+    return F.expr(f"`{order}` div {width}")
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
@@ -28,7 +28,8 @@ def running(rows: DataFrame, keys: list[str], order: list[str], bucket: Column,
     sums, lasts = sums or {}, lasts or {}
     given = rows.columns
     fed = rows.withColumns({"_b": bucket, "_c": F.lit(1), **{f"_s_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}, **{f"_l_{n}": c for n, c in lasts.items()}})
-    at = F.struct(*order)
+    # a plain number lets the aggregate hash; a struct makes it sort
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     totals = [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums] + [F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), at)).alias(f"_l_{n}") for n in lasts]
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = fed.groupBy(*keys, "_b").agg(*totals).select(
