@@ -66,6 +66,28 @@ def test_common_terms_and_many_shards(spark, seed):
     assert topk.more_like_these(df, df.limit(0)).count() == 0
 
 
+def test_whole_texts_are_queries(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    # a word of document 900 alone, and more than 16 words, of which only the commonest are shared
+    docs += [(900, "soledad"), (100000, " ".join(f"own{i}" for i in range(20)) + " common"), (100002, "common"), *((100004 + 2 * i, f"common own{i} own{i}") for i in range(20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    counts = [(d, Counter((t or "").encode().lower().split())) for d, t in docs]
+    dfs = Counter(t for _, c in counts for t in c)
+    mean = sum(sum(c.values()) for _, c in counts) / len(counts)
+    want = {}
+    for q, own in counts:
+        if q % 100 == 0 and own:
+            scores = []
+            for d, c in counts:
+                hits = sorted(set(own) & set(c))
+                if hits:
+                    n = sum(c.values())
+                    scores.append((-sum(float(np.log(1 + (len(docs) - dfs[t] + 0.5) / (dfs[t] + 0.5))) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in hits), d))
+            want[q] = [(d, -x) for x, d in sorted(scores)[:10]]
+    assert max(len(c) for q, c in counts if q in want) > 16 and 900 in want
+    same(ranked(topk.more_like_these(df, df.where("doc_id % 100 = 0")).collect()), want)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 6), st.integers(1, 12))
 def test_wand_is_exact_and_prunes(seed, n_lists, k):

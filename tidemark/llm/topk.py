@@ -5,10 +5,11 @@ its postings (document's place, term frequency) and one row for its documents (i
 document frequency of a term, the number of documents and their mean length are sums over all shards, so a score
 does not depend on the sharding.
 
-Searching: postings of the terms asked for are gathered by shard, with the queries that have any of them. Within a
-shard block-max WAND walks the postings document by document: it skips documents whose lists' maxima, and blocks
-whose block maxima, can't beat the k-th score so far. Each shard returns its own k best; the best of these are exact. The shards take part in three rounds, each of about
-five times as many as the round before; a round starts from the k-th score that the earlier ones found for a query,
+Searching: postings of the terms asked for are gathered by shard, and each shard gets every query. A query of more
+than ``FEW`` terms adds up its lists in arrays, since bounds of so many lists exclude little; for shorter ones
+block-max WAND walks the postings document by document: it skips documents whose lists' maxima, and blocks
+whose block maxima, can't beat the k-th score so far. Both give the same results. Each shard returns its own k best;
+the best of these are exact. The shards take part in three rounds, each of about five times as many as the round before; a round starts from the k-th score that the earlier ones found for a query,
 so that shards skip, and do not return, what can't be among the k best of all. Equal scores rank by id.
 
 Terms are the words of the text, A-Z lower-cased. Null and empty texts have no terms and match nothing, but count as
@@ -34,6 +35,8 @@ from tidemark.llm.bpe import raw_texts
 K1, B = 1.2, 0.75
 #: Words of a shard, postings of a block.
 SHARD, BLOCK = 6_000_000, 64
+#: Terms of a query up to which WAND walks its lists.
+FEW = 16
 NO_ID = 2**63 - 1
 _POST = np.dtype([("doc", "<u4"), ("tf", "<u4")])
 _DOCS = np.dtype([("id", "<i8"), ("n", "<u4")])
@@ -199,33 +202,56 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
     return [(s, -d) for s, d in sorted(heap, key=lambda x: (-x[0], -x[1]))]
 
 
+def add_up(lists: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
+    """As ``wand``, for (documents, scores) of each list: every posting is added to ``total``, an array by document."""
+    total.fill(0)
+    for docs, scores in lists:
+        total[docs] += scores
+    least = np.partition(total, -k)[-k] if k < len(total) else 0.0
+    found = np.flatnonzero((total >= max(least, floor)) & (total > 0))
+    best = found[np.lexsort((found, -total[found]))[:k]]
+    return list(zip(total[best].tolist(), best.tolist()))
+
+
 def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, id, score) for ``queries(query, term, df)``; ``indexed`` is a stored result of ``index``."""
     n, total = indexed.where("term is null").agg(F.sum("n"), F.sum("total")).first()
     n, mean = n or 0, max((total or 0) / max(n or 0, 1), 1e-9)
     spark = indexed.sparkSession
     scratch = Scratch(spark)
-    # sort-merge joins at every size: the terms asked for grow with the input and have no bound to broadcast by
-    terms = queries.select("term").distinct().hint("merge")
+    # sort-merge joins at every size: the terms asked for grow with the input and have no bound to broadcast by.
+    # Terms go by numbers in their order
+    terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).orderBy("term").select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
     turn = F.when(F.pmod(F.xxhash64("shard"), F.lit(25)) == 0, 0).when(F.pmod(F.xxhash64("shard"), F.lit(25)) < 5, 1).otherwise(2).alias("turn")
-    lists = scratch.keep(indexed.where("term is not null").join(terms, "term").select("shard", "term", "data", turn), "lists")
-    asked = queries.join(lists.select("shard", "term", "turn").hint("merge"), "term").groupBy(F.col("shard").alias("at"), "turn", "query")
-    asked = scratch.keep(asked.agg(F.collect_list(F.struct("term", "df")).alias("terms")), "asked")  # as many terms as a query has
-    used = lists.unionByName(indexed.where("term is null").select("shard", "term", "data", turn))
+    lists = indexed.where("term is not null").join(terms.hint("merge"), "term").select("shard", "t", "df", "data", turn)
+    used = scratch.keep(lists.unionByName(indexed.where("term is null").select("shard", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("df"), "data", turn)), "lists")
+    asked = queries.join(terms.select("term", "t").hint("merge"), "term").groupBy("query").agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    asked = scratch.keep(asked, "asked")  # as many terms as a query has
+    shards = indexed.where("term is null").select(F.col("shard").alias("at"), turn)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        posts, docs = {}, np.zeros(0, _DOCS)
-        for term, data in zip(left.column("term").to_pylist(), left.column("data").to_pylist()):
+        posts, docs, scored = {}, np.zeros(0, _DOCS), {}
+        for term, df, data in zip(*(left.column(c).to_pylist() for c in ("t", "df", "data"))):
             if term is None:
                 docs = np.frombuffer(data, _DOCS)
             else:
-                posts[term] = np.frombuffer(data, _POST)
+                posts[term] = idf(n, df), np.frombuffer(data, _POST)
         norm = K1 * (1 - B + B * docs["n"] / mean)
+        total = np.zeros(len(docs))
+
+        def scores_of(term: int) -> tuple[np.ndarray, np.ndarray]:
+            if term not in scored:
+                weight, post = posts[term]
+                at, tf = post["doc"].astype(np.int64), post["tf"].astype(np.float64)
+                scored[term] = at, weight * tf * (K1 + 1) / (tf + norm[at])
+            return scored[term]
+
         out = []
-        for query, terms, floor in zip(*(right.column(c).to_pylist() for c in ("query", "terms", "floor"))):
-            terms = sorted((t["term"], t["df"]) for t in terms)
-            for score, doc in wand([Postings(idf(n, df), posts[t], norm) for t, df in terms], k, floor=floor):
-                out.append((query, int(docs["id"][doc]), score))
+        for i in range(right.num_rows):
+            query, terms, floor = (right.column(c)[i].as_py() for c in ("query", "terms", "floor"))
+            own = [t for t in terms if t in posts]
+            best = add_up(list(map(scores_of, own)), total, k, floor) if len(own) > FEW else wand([Postings(w, p, norm) for w, p in map(posts.get, own)], k, floor=floor)
+            out += [(query, int(docs["id"][doc]), score) for score, doc in best]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
 
@@ -233,24 +259,26 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ranks = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank")
     best = spark.createDataFrame([], schema + ", rank int")
     for turn in range(3):
+        now = F.broadcast(shards.where(F.col("turn") == turn).select("at"))  # a number per shard
         floor = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-        right = asked.where(F.col("turn") == turn).join(floor, "query", "left").select("at", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
-        left = used.where(F.col("turn") == turn).select("shard", "term", "data")
+        right = asked.join(floor, "query", "left").crossJoin(now).select("at", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+        left = used.where(F.col("turn") == turn).select("shard", "t", "df", "data")
         found = left.groupBy("shard").cogroup(right.groupBy("at")).applyInArrow(run, schema)
         best = scratch.keep(best.drop("rank").unionByName(found).select("query", "id", "score", ranks).where(F.col("rank") <= k), "best")
     return best.select("query", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score")
 
 
-def more_like_these(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(query, rank, id, score): for each row of ``queries`` the documents that match its ``terms`` rarest words best.
+def more_like_these(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(query, rank, id, score): for each row of ``queries`` the documents that match the words of its whole text best.
 
-    A query's terms are taken from its whole text: those of the smallest document frequency, but of two documents at
-    least; equal frequencies by term. The query itself, if among the documents, is a result like any other.
+    With ``terms``, only so many words of a query count: those of the smallest document frequency, but of two documents
+    at least; equal frequencies by term. The query itself, if among the documents, is a result like any other.
     """
     scratch = Scratch(docs.sparkSession)
     indexed = scratch.keep(index(docs, text, key), "index")
     words = scratch.keep(words_of(queries, text, key), "words")
-    found = frequencies(indexed, words).where("df >= 2")
-    rare = Window.partitionBy("query").orderBy("df", "term")
-    chosen = words.join(found, "term").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= terms).select("query", "term", "df")
-    return search(indexed, scratch.keep(chosen, "chosen"), k)
+    chosen = words.join(frequencies(indexed, words), "term")
+    if terms is not None:
+        rare = Window.partitionBy("query").orderBy("df", "term")
+        chosen = chosen.where("df >= 2").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= terms)
+    return search(indexed, scratch.keep(chosen.select("query", "term", "df"), "chosen"), k)
