@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, queries
 
@@ -39,3 +40,16 @@ def test_pair_tables_equal_plain_convolution():
         tops.append(sum(f[j][w[:, j : j + langid.WINDOW]] for j in range(width)).max(axis=1))
     want = langid.softmax(np.maximum(np.concatenate(tops, axis=1) + net.bias, 0) @ net.dense + net.dense_bias)
     np.testing.assert_allclose(net.probabilities(w), want, rtol=1e-4, atol=1e-5)
+
+
+def test_copies_do_not_starve_a_sample(spark):
+    copy = spark.range(20000).selectExpr("'der und das nicht mit' AS text", "'de' AS lang")
+    rest = spark.range(400).selectExpr("concat('wort', id, ' und der') AS text", "'de' AS lang")
+    few = spark.range(5000).selectExpr("concat('the of ', id % 3) AS text", "'en' AS lang")
+    texts, langs = langid.training_sample(copy.unionByName(rest).unionByName(few), "text", "lang")
+    assert (langs.count("de"), langs.count("en")) == (300, 3)
+    assert len(set(texts)) == 303
+    # the 300 of 401 smallest hashes, whatever the copies
+    once = copy.limit(1).unionByName(rest)
+    smallest = [r["text"].encode() for r in once.orderBy(F.xxhash64("text")).limit(300).collect()]
+    assert [t for t, x in zip(texts, langs) if x == "de"] == smallest

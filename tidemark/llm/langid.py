@@ -7,7 +7,7 @@ the winning place of a filter gets a gradient. The window probabilities of a tex
 window, average to the text's score.
 
 A text that is null, empty or has no letter is ``und`` with score 0. Whole texts are read, window by window.
-Training uses at most ``SAMPLE`` rows per label (the smallest by a hash of the text) and ``WINDOWS`` windows of each.
+Training uses at most ``SAMPLE`` distinct texts per label (the smallest by a hash of the text) and ``WINDOWS`` windows of each.
 """
 
 from __future__ import annotations
@@ -130,20 +130,22 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """A stretch of at most ``rows`` rows of each label: those with the smallest hashes, so the choice is the same each time."""
-    order = Window.partitionBy("_lang").orderBy("_h", "_text")
+    """A stretch of at most ``rows`` distinct texts of each label: those with the smallest hashes, so the choice is the same each time.
+
+    Texts are distinct by their hash of 64 bits.
+    """
     labelled = docs.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     hashed = labelled.select("_lang", F.xxhash64("_text").alias("_h"), "_text")
-    # a hash bound first: only the sample is sorted, not the table
-    counts = hashed.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
-    limits = [(r["_lang"], r["n"]) for r in counts.orderBy(F.desc("n"), "_lang").limit(200).collect()]
-    keep = F.lit(False)
-    for label, n in limits:
-        bound = -(2**63) + int(2**64 * min(1.0, 2.0 * rows / n + 20 / n))
-        keep = keep | ((F.col("_lang") == label) & (F.col("_h") <= F.lit(min(bound, 2**63 - 1))))
+    # copies collapse before any is counted; then only hashes are ranked, so that a label with fewer texts has them all
+    distinct = hashed.select("_lang", "_h").distinct()
+    order = Window.partitionBy("_lang").orderBy("_h")
+    chosen = distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows)
+    picked = [(r["_lang"], r["_h"], r["_r"]) for r in chosen.collect()]
+    sample = docs.sparkSession.createDataFrame(picked, "_lang string, _h long, _r int")
     # of a long text the driver gets one stretch, from a place that the hash picks
-    part = F.substring("_text", F.pmod("_h", F.greatest(F.length("_text") - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH))
-    got = hashed.where(keep).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).orderBy("_lang", "_r").select(part, "_lang").collect()
+    part = F.substring("_text", F.pmod("_h", F.greatest(F.length("_text") - STRETCH, F.lit(1))).cast("int") + 1, F.lit(STRETCH)).alias("_part")
+    rest = hashed.join(F.broadcast(sample), ["_lang", "_h"]).select("_lang", "_r", part)
+    got = rest.groupBy("_lang", "_r").agg(F.min("_part").alias("_part")).orderBy("_lang", "_r").select("_part", "_lang").collect()
     return [r[0].encode() for r in got], [r[1] for r in got]
 
 
