@@ -49,3 +49,10 @@ def test_stages_keep_odd_columns_and_rows(spark):
         assert sorted(left, key=str) == ([1, 3, 7, None] if docs.count() else [])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("length > 0").count() >= len(left)
     assert left == {}
+
+
+def test_language_keeps_documents_without_labels(spark):
+    rows = [(i, "der und das nicht mit" if i % 2 else "the and of with", None) for i in range(20)] + [(20, None, None), (21, "", None), (22, "12 34", None)]
+    for lang in (None, "und"):
+        df = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()) == list(range(20))

@@ -149,8 +149,8 @@ def training_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE) -
     return [r[0].encode() for r in got], [r[1] for r in got]
 
 
-def _answers(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    """Label and score of each text, some windows at a time."""
+def _answers(net: Network, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+    """Label and score of each text, some windows at a time, and whether it was rejected: null, empty or letterless."""
     preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if _LETTER.search(t.decode("utf-8", "replace"))]
     sums = np.zeros((len(texts), len(net.labels)))
@@ -179,7 +179,10 @@ def _answers(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
         p = sums[i] / sums[i].sum()
         k = int(p.argmax())
         preds[i], scores[i] = net.labels[k], float(min(1.0, p[k]))
-    return preds, scores
+    rejected = [True] * len(texts)
+    for i in known:
+        rejected[i] = False
+    return preds, scores, rejected
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,7 +192,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.tables()
         for b in batches:
-            preds, scores = _answers(net, raw_texts(b.column(1)))
+            preds, scores, _ = _answers(net, raw_texts(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -197,15 +200,15 @@ def predict(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_i
 
 
 def with_language(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a language: not ``und``."""
+    """The rows of ``docs``, all columns, whose text gets a language, whatever its label: not null, empty or letterless."""
     bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.tables()
         for b in batches:
-            preds, _ = _answers(net, raw_texts(b.column(place)))
-            yield b.filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
+            _, _, rejected = _answers(net, raw_texts(b.column(place)))
+            yield b.filter(pa.array([not r for r in rejected], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
