@@ -123,6 +123,15 @@ def test_warc_round_trip(spark):
     assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read(spark, path).collect()) == [(0, "revisit", 3), (3, "response", None), (3, "response", None)]
 
 
+def test_warc_long_urls(spark):
+    pages = [(1, "u" * 200_000, HTML), (2, "v", "short"), (3, "w" * 65_536, HTML), (4, "x", "WARC/1.0\r\n" * 100_000), (5, "y" * 1_000_000, None)]
+    path = _shared.Scratch(spark).path("warc")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read(spark, path).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected(pages)
+    assert {r["page_id"]: r["url"] for r in got} == {i: u for i, u, _ in pages}
+
+
 def test_warc_query(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(tuple(r) for r in queries.op6_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == expected(pages)

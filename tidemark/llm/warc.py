@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import Scratch, bounded_batches
 
 MAGIC = b"WARC/1.0\r\n"
+_LENGTH = b"\r\nContent-Length: "
 LEAST = 100
 #: Records of an archive at most; Spark starts another file then.
 RECORDS = 20_000
@@ -62,13 +63,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """Header fields of the record at ``at`` and where its block starts."""
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        return None
-    fields = dict(x.split(b": ", 1) for x in data[at + len(MAGIC) : end].split(b"\r\n") if b": " in x)
-    return fields, end + 4
+def _fields(data: bytes, start: int, end: int) -> dict[bytes, bytes]:
+    return dict(x.split(b": ", 1) for x in data[start:end].split(b"\r\n") if b": " in x)
 
 
 def _page(name: bytes | None) -> int | None:
@@ -78,17 +74,25 @@ def _page(name: bytes | None) -> int | None:
 
 def candidates(data: bytes) -> Iterator[dict]:
     """Every occurrence of the magic that has a header, with its successor's offset (none if it can't be a record)."""
-    at = data.find(MAGIC)
+    at, end, line = data.find(MAGIC), -1, -1
     while at >= 0:
-        found = _header(data, at)
-        if found:
-            fields, block = found
-            size = fields.get(b"Content-Length", b"")
+        following = data.find(MAGIC, at + 1)
+        if at > end:  # a header has any length; all occurrences before its end share it, so it is sought once
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            line = data.rfind(_LENGTH, at, end)
+        # a line that is the magic itself is no field, so a header does not hold one
+        nested = 0 <= following < end and data[following - 2 : following] == b"\r\n"
+        if not nested and line > at:
+            block = end + 4
+            size = data[line + len(_LENGTH) : data.find(b"\r\n", line + 2, end + 2)]
             after = block + int(size) + 4 if size.isdigit() and len(size) < 16 else None
             if after is not None and after <= len(data) and data[after - 4 : after] == b"\r\n\r\n":
+                fields = _fields(data, at + len(MAGIC), end)
                 body = data.find(b"\r\n\r\n", block, after - 4)
                 payload = data[body + 4 : after - 4] if body >= 0 else data[block : after - 4]
-                http = dict(x.split(b": ", 1) for x in data[block:body].split(b"\r\n") if b": " in x) if body >= 0 else {}
+                http = _fields(data, block, body) if body >= 0 else {}
                 kind = fields.get(b"WARC-Type", b"").decode("ascii", "replace")
                 digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha256:").decode("ascii", "replace")
                 length = http.get(b"Content-Length", b"")
@@ -100,7 +104,7 @@ def candidates(data: bytes) -> Iterator[dict]:
                     "intact": not whole or digest in ("", hashlib.sha256(payload).hexdigest()),
                     "refers_to": _page(fields.get(b"WARC-Refers-To")), "url": fields.get(b"WARC-Target-URI", b"").decode("utf-8", "replace") or None,
                 }
-        at = data.find(MAGIC, at + 1)
+        at = following
 
 
 def reachable(offset: np.ndarray, after: np.ndarray, end: int) -> np.ndarray:
