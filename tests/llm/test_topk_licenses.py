@@ -147,6 +147,16 @@ def test_licence_lines(spark):
     assert odd["license"] in ("unknown", "none")
 
 
+def test_wrapped_headers(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights"
+    bsd = " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    apart = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this sea and of no other"
+    rows = [(1, mit), (2, bsd), (3, gpl), (4, f"{mit}\n\n{bsd}\n{gpl}"), (5, apart), (6, f"{gpl}\n\nReleased under the MIT License.\n")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "gpl", 4: "bsd,gpl,mit", 5: "", 6: "gpl,mit"}
+
+
 def rows_of(lines, i):
     return f"some words before\n{lines[i][0]}\nand some after x "
 

@@ -1,6 +1,7 @@
 """Licence scan: sparse n-gram logistic regression over paragraphs, in DataFrame functions alone.
 
-A paragraph is a line of text. The classifier (multinomial logistic regression with an L1 penalty, trained in numpy
+A paragraph is a line of text. Notices that are wrapped over lines are found too: each line is read on, up to the next
+blank line, for as many words as the longest notice has, and what no line names alone counts once a text. The classifier (multinomial logistic regression with an L1 penalty, trained in numpy
 on variations of the notices below and on sentences that only sound like them) weighs words and word pairs. Only
 n-grams with an *anchor* have weights, a word of the notices that is no common one; a paragraph without anchor has no
 feature, and the bias alone answers ``none`` (checked after training), so such paragraphs need no scoring.
@@ -44,6 +45,7 @@ GRAMS, EPOCHS, RATE, PENALTY, VARIATIONS = 2, 300, 0.5, 0.0015, 40
 #: Share of a notice's word pairs that a paragraph of its family has at least.
 AGREEMENT = 0.6
 _WORD = r"[^a-z0-9]+"
+_BLANK = r"(?>\r\n|\r|\n)[ \t]*(?>\r\n|\r|\n)"
 
 
 def tokens_of(text: str) -> list[str]:
@@ -149,11 +151,30 @@ def grams_column(words: Column) -> Column:
 
 def paragraphs(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(_id, _hash, line, label, score) of every paragraph with an anchor that is not ``none``."""
-    spark = docs.sparkSession
     lines = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.posexplode(F.split(F.col(text).cast("string"), r"[\r\n]+")).alias("line", "paragraph"))
     words = lines.select("_id", "_hash", "line", words_column(F.col("paragraph")).alias("words"))
-    words = words.where(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors))))
-    grams = words.select("_id", "_hash", "line", F.explode(grams_column(F.col("words"))).alias("gram")).distinct()
+    return _scored(words.where(_anchored(F.col("words"), model)), model)
+
+
+def _anchored(words: Column, model: Model) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, model.anchors)))
+
+
+def wrapped(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_id, _hash, line, label, score) of every line with an anchor that, read on over the lines after it, is not ``none``."""
+    longest = max(len(tokens_of(s)) for ns in NOTICES.values() for s in ns)
+    blocks = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.posexplode(F.split(F.col(text).cast("string"), _BLANK)).alias("block", "lines"))
+    lines = blocks.select("_id", "_hash", "block", F.filter(F.transform(F.split("lines", r"[\r\n]+"), words_column), lambda w: F.size(w) > 0).alias("lines")).where(F.size("lines") > 1)
+    # the words of line and, after them, as many as a notice has: all notices that begin in the line, however wrapped
+    read_on = F.transform("lines", lambda w, i: F.when((i + 1 < F.size("lines")) & _anchored(w, model), F.concat(w, F.slice(F.flatten(F.slice("lines", i + 2, F.lit(longest))), 1, longest))))
+    words = lines.select("_id", "_hash", "block", F.posexplode(read_on).alias("at", "words")).where("words is not null")
+    return _scored(words.select("_id", "_hash", F.struct("block", "at").alias("line"), "words"), model)
+
+
+def _scored(words: DataFrame, model: Model) -> DataFrame:
+    """(_id, _hash, line, label, score) of the rows of ``words(_id, _hash, line, words)`` that are not ``none``."""
+    spark = words.sparkSession
+    grams = words.select("_id", "_hash", "line", F.explode(grams_column(F.col("words"))).alias("gram"))
 
     # weights and notices are one small table, as long as the model: its size does not depend on the input
     table = {g: (ws, []) for g, ws in model.weights.items()}
@@ -163,7 +184,8 @@ def paragraphs(docs: DataFrame, model: Model, text: str = "text", key: str = "do
         for g in pairs:
             table.setdefault(g, (zero, []))[1].append(i)
     learned = spark.createDataFrame([(g, ws, at) for g, (ws, at) in sorted(table.items())], "gram string, w array<double>, notices array<int>")
-    hits = grams.join(F.broadcast(learned), "gram")
+    # only grams that count are dealt out, each once
+    hits = grams.join(F.broadcast(learned.select("gram")), "gram", "left_semi").distinct().join(F.broadcast(learned), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(model.classes))]
     shares = [(F.sum(F.array_contains("notices", i).cast("int")) / len(pairs)).alias(f"n{i}") for i, (_, pairs) in enumerate(notices)]
     scored = hits.groupBy("_id", "_hash", "line").agg(*sums, *shares)
@@ -182,9 +204,14 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model
     """(key, license, licenses, n_paragraphs, score) per row of ``docs``.
 
     license: the family of the paragraph with the highest score, else ``unknown`` if a paragraph is, else ``none``;
-    licenses: all families, sorted, comma-joined; n_paragraphs: how many are a family or unknown.
+    licenses: all families, sorted, comma-joined; n_paragraphs: how many are a family or unknown, with one more for each family found over lines alone.
     """
-    found = paragraphs(docs, model or train(), text, key)
+    model = model or train()
+    lines = paragraphs(docs, model, text, key).select("_id", "_hash", "label", "score", F.lit(True).alias("whole"))
+    over = wrapped(docs, model, text, key).where("label != 'unknown'").select("_id", "_hash", "label", "score", F.lit(False).alias("whole"))
+    # of a family over lines the best score, and only where no line names it
+    over = lines.where("label != 'unknown'").unionByName(over).groupBy("_id", "_hash", "label").agg(F.max("score").alias("score"), F.max("whole").alias("whole")).where("not whole")
+    found = lines.drop("whole").unionByName(over.drop("whole"))
     family = F.col("label") != "unknown"
     per = found.groupBy("_id", "_hash").agg(
         F.max_by("label", F.struct(family, "score", "label")).alias("license"),
