@@ -53,3 +53,24 @@ def test_copies_do_not_starve_a_sample(spark):
     once = copy.limit(1).unionByName(rest)
     smallest = [r["text"].encode() for r in once.orderBy(F.xxhash64("text")).limit(300).collect()]
     assert [t for t, x in zip(texts, langs) if x == "de"] == smallest
+
+
+def test_only_letters_count_as_text(spark):
+    df = spark.createDataFrame([(1, "½ ① Ⅷ ²", None), (2, "٣ 12 ‿ _", None), (3, "ß", None), (4, "日本", None), (None, "the of", "xx"), *((3 * i + 5, "the of and", "en") for i in range(6))], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und", "und", "en", "en"]
+    # a row without id is neither held out nor learned from
+    assert got[None]["held_out"] is False and got[None]["lang_pred"] == "en"
+
+
+def test_noise_is_rejected_and_nothing_else(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    net = langid.train(*langid.training_sample(rows.where("crc32(cast(doc_id as string)) % 3 != 1"), "text", "lang"), noise=True)
+    rng = np.random.default_rng(99)
+    base64 = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 700)) for _ in range(20)]
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 300)) for _ in range(20)]
+    junk = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(base64 + hexes)], rows.schema)
+    kept = {r["doc_id"] for r in langid.with_language(rows.unionByName(junk), net).collect()}
+    lettered = {r["doc_id"] for r in rows.where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert kept == lettered

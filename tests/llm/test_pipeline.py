@@ -56,3 +56,26 @@ def test_language_keeps_documents_without_labels(spark):
     for lang in (None, "und"):
         df = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string")
         assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()) == list(range(20))
+
+
+def test_unlike_texts_with_one_id_both_stay(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(1, words("a"), "x"), (1, words("b"), "y"), (1, words("a"), "w"), (2, words("a") + " end", "z"), (None, words("c"), "u"), (None, words("d"), "v"), (None, words("b"), "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert got >= {(1, words("a")), (1, words("b")), (None, words("c")), (None, words("d"))} and len(got) in (4, 5)
+    assert corpus_pipeline.near_dedup(spark, df, "").where("source = 't'").count() == 0
+
+
+def test_columns_with_names_of_the_operators_come_back(spark):
+    names = ["__key", "__lost", "__cut", "__sum", "__spans", "key", "row", "id", "nth", "words", "fp", "component", "_text", "a.b"]
+    line = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, f"text {i} of " * 9 + line, *[f"{n}-{i}" for n in names]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = Scratch(spark).keep(stage(spark, df, ""), name)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}-{r['doc_id']}" for n in names]
+        df = out
+    assert df.count() == 5

@@ -68,30 +68,46 @@ def clean_up(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: A key that holds more than this share of all rows is hot; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``small(key, ..., n)``, one row per key, where n counts the key's rows and ``total`` all rows.
+
+    The rows of a hot key stay where they are and meet its row by broadcast; at most ``HOT`` keys have a thousandth of
+    all rows, so the broadcast is bounded. All other keys meet in a sort-merge join.
+    """
+    hot = F.col("n") > max(total // HOT, HOT)
+    left = rows.join(F.broadcast(small.where(hot)), key, "left")
+    few = left.where("n is null").select(rows.columns).join(small.where(~hot).hint("merge"), key)
+    return left.where("n is not null").unionByName(few).drop("n")
+
+
+def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Alternates large-star and small-star until the edge set stays the same. Every step is a hash aggregate
-    and an equality join; the edges between rounds are a table in the shared folder.
+    Alternates large-star and small-star until the edge set stays the same, however many rounds that takes. Every step
+    is a hash aggregate and an equality join that keeps hubs where they are; the edges between rounds are a table in
+    the shared folder.
     """
     e = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    least = [F.min("v").alias("m"), F.count(F.lit(1)).alias("n")]
+    while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == before:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(*least).select("u", F.least("u", "m").alias("m"), "n")
+        # the larger neighbours of a node go to its smallest one; each edge has one larger end, so large has no more rows than e
+        large = join_hot(both.where("v > u"), low, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = join_hot(large, large.groupBy("u").agg(*least), "u", now[0])
         nxt = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         nxt = scratch.keep(nxt.distinct(), "edges")
         scratch.drop(e)
         e = nxt
-    else:
-        raise RuntimeError("connected components did not settle")
     own = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     out = scratch.keep(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own), "components")
     scratch.drop(e)

@@ -6,8 +6,15 @@ passes a rectifier and a dense softmax layer. Training minimises cross-entropy w
 the winning place of a filter gets a gradient. The window probabilities of a text, weighted by the letters in the
 window, average to the text's score.
 
-A text that is null, empty or has no letter is ``und`` with score 0. Whole texts are read, window by window.
-Training uses at most ``SAMPLE`` distinct texts per label (the smallest by a hash of the text) and ``WINDOWS`` windows of each.
+A text that is null, empty or has no letter (no character of Unicode's category L) is ``und`` with score 0. Whole
+texts are read, window by window. Training uses at most ``SAMPLE`` distinct texts per label (the smallest by a hash of
+the text) and ``WINDOWS`` windows of each. Rows without a label teach nothing; without any label the answer is ``und``.
+Equal texts get equal answers, equal probabilities the label that sorts first. A row without id is never held out and
+never learned from. Empty tables give empty tables; other columns, whatever their names, are neither read nor returned.
+
+For filtering, a network may learn one class more (``noise``): strings of random letters, digits and signs, as dumps
+and encoded data have them. A text of a window's length or more that belongs there with a probability of ``REJECT``
+has no language and is rejected; of any other the most probable language counts.
 """
 
 from __future__ import annotations
@@ -29,12 +36,20 @@ WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 SAMPLE, WINDOWS, STRETCH = 300, 6, 4096
 STEPS, BATCH = 500, 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Strings that the noise class learns from, and the signs that they are drawn from.
+NOISE, REJECT = 240, 0.9
+_SIGNS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(33, 127)), b"0123456789abcdef \n", b"01 \nxX")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(raw: bytes) -> bool:
+    """Whether a character of the text is a letter, as ``\\p{L}`` has it."""
+    return bool(_ASCII_LETTER.search(raw)) or any(map(str.isalpha, raw.decode("utf-8", "replace")))
 
 
 @dataclass
 class Network:
-    labels: list[str]
+    labels: list[str | None]  # None: the class of noise
     filters: dict[int, np.ndarray]  # width -> (width, 256, FILTERS)
     bias: np.ndarray
     dense: np.ndarray  # (len(WIDTHS) * FILTERS, labels)
@@ -79,10 +94,22 @@ def windows_of(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, WINDOW + 3)[::WINDOW]
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 7, steps: int = STEPS) -> Network:
-    """A network for the labels in ``langs``; with a single label or none it always answers that or ``und``."""
+def noise_strings(rng: np.random.Generator) -> list[bytes]:
+    """Random strings of several stocks of signs, each about as long as a text's windows."""
+    stocks = [np.frombuffer(s, np.uint8) for s in _SIGNS]
+    return [stocks[i % len(stocks)][rng.integers(0, len(stocks[i % len(stocks)]), WINDOW * WINDOWS)].tobytes() for i in range(NOISE)]
+
+
+def train(texts: list[bytes], langs: list[str], seed: int = 7, steps: int = STEPS, noise: bool = False) -> Network:
+    """A network for the labels in ``langs``; with a single label or none it always answers that or ``und``.
+
+    With ``noise`` it has one class more for strings that are no language, if there is any label.
+    """
     rng = np.random.default_rng(seed)
-    labels = sorted(set(langs)) or [UNKNOWN]
+    labels: list[str | None] = sorted(set(langs)) or [UNKNOWN]
+    if noise and langs:
+        made = noise_strings(np.random.default_rng(seed + 1))
+        texts, langs, labels = [*texts, *made], [*langs, *[None] * len(made)], [*labels, None]
     xs, ys = [], []
     for raw, lang in zip(texts, langs):
         w = windows_of(raw)
@@ -150,9 +177,9 @@ def training_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE) -
 
 
 def _answers(net: Network, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
-    """Label and score of each text, some windows at a time, and whether it was rejected: null, empty or letterless."""
+    """Label and score of each text, some windows at a time, and whether it was rejected: null, empty, letterless or noise."""
     preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if _LETTER.search(t.decode("utf-8", "replace"))]
+    known = [i for i, t in enumerate(texts) if has_letter(t)]
     sums = np.zeros((len(texts), len(net.labels)))
     held: list[tuple[int, np.ndarray]] = []
 
@@ -175,13 +202,13 @@ def _answers(net: Network, texts: list[bytes]) -> tuple[list[str], list[float],
                 flush()
                 size = 0
     flush()
-    for i in known:
-        p = sums[i] / sums[i].sum()
-        k = int(p.argmax())
-        preds[i], scores[i] = net.labels[k], float(min(1.0, p[k]))
     rejected = [True] * len(texts)
     for i in known:
-        rejected[i] = False
+        p = sums[i] / sums[i].sum()
+        rejected[i] = net.labels[-1] is None and len(texts[i]) >= WINDOW and bool(p[-1] >= REJECT)
+        if not rejected[i]:
+            k = int(p[: -1 if net.labels[-1] is None else None].argmax())
+            preds[i], scores[i] = net.labels[k], float(min(1.0, p[k]))
     return preds, scores, rejected
 
 
@@ -200,7 +227,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", key: str = "doc_i
 
 
 def with_language(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a language, whatever its label: not null, empty or letterless."""
+    """The rows of ``docs``, all columns, whose text gets a language: not null, empty or letterless, nor noise to the network."""
     bounded_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
@@ -210,16 +237,17 @@ def with_language(docs: DataFrame, net: Network, text: str = "text") -> DataFram
             _, _, rejected = _answers(net, raw_texts(b.column(place)))
             yield b.filter(pa.array([not r for r in rejected], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots do not pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def fold_of(key: str = "doc_id"):
-    """crc32 of the id as text, modulo 3; rows where it is 1 (or the id null) are held out."""
+    """crc32 of the id as text, modulo 3; rows where it is 1 are held out. Null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score): a network learned from the rows not held out, applied to all."""
-    held = F.coalesce(fold_of(key) == 1, F.lit(True))
-    net = train(*training_sample(docs.where(~held), text, lang))
-    return predict(docs, net, text, key).withColumn("held_out", held).select(key, "held_out", "lang_pred", "score")
+    # a row without id is in no fold: it is not learned from
+    net = train(*training_sample(docs.where(fold_of(key) != 1), text, lang))
+    return predict(docs, net, text, key).withColumn("held_out", F.coalesce(fold_of(key) == 1, F.lit(False))).select(key, "held_out", "lang_pred", "score")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import Scratch, bounded_batches, connected_components
+from tidemark.llm._shared import Scratch, bounded_batches, connected_components, join_hot
 from tidemark.llm.bpe import raw_texts
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -112,8 +112,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = scratch.keep(rows.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     linked = link(classes.select("fp"), scratch).withColumnRenamed("component", "_c")
     members = linked.join(classes, "fp")
-    named = members.groupBy("_c").agg(F.min("first").alias("component"))
-    names = scratch.keep(linked.join(named, "_c").select("fp", "component"), "names")
+    named = scratch.keep(members.groupBy("_c").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")), "named")
+    # a component may have a third of all classes: its rows are not gathered
+    names = scratch.keep(join_hot(linked, named, "_c", classes.count()).select("fp", "component"), "names")
     return rows.join(names, "fp").select(key, "fp", "component")
 
 
