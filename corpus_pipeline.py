@@ -6,7 +6,7 @@ next stage's documents. All but the last return the columns they got, extra ones
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, packing, simhash, substring
@@ -14,30 +14,45 @@ from tidemark.llm._shared import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: null, empty and letterless texts. All others stay."""
-    # the network is learned from the labelled documents as the corpus has them
-    net = langid.train(*langid.training_sample(docs.where(F.coalesce(langid.fold_of() != 1, F.lit(False))), "text", "lang"))
+    """Drops the documents that have no language: null, empty and letterless texts, and those that the network takes for noise.
+
+    Without a label in the table (or without the column lang) there is nothing to learn from: then only the former go.
+    """
+    # the network is learned from the labelled documents as the corpus has them, and from random strings
+    labelled = docs.where(langid.fold_of() != 1).select("text", F.col("lang") if "lang" in docs.columns else F.lit(None).alias("lang"))
+    net = langid.train(*langid.training_sample(labelled, "text", "lang"), noise=True)
     return langid.with_language(docs, net)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id (and of its rows one)."""
-    # a row without id goes by its text: its copies are the same document
-    key = F.coalesce(F.col("doc_id"), F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)))
-    keyed = docs.withColumn("__key", key)
-    found = simhash.near_duplicates(keyed.select("__key", "text"), key="__key")
-    keep = Scratch(spark).keep(found.where("__key = component").select("__key").distinct(), "keep")
-    # the join leaves the rows dealt by key, so that dropping repeated rows moves no text again
-    return keyed.join(keep, "__key").dropDuplicates(["__key"]).select(docs.columns)
+    """Keeps one document of each group of near-duplicates, the one with the smallest id.
+
+    A document is an id and a text, so unlike texts with one id are documents of their own; a row without id comes
+    after all others. Of rows with equal id and text the one with the smallest hash of all its columns stays.
+    """
+    place = F.col("doc_id").isNull().alias("no_id")
+    key = F.struct(place, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    # the row is one column beside the key, so no column of the documents clashes with those added here
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = simhash.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), key="key")
+    keep = Scratch(spark).keep(found.where("key = component").select("key").distinct(), "keep")
+    hashable = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # repeated rows collapse in each task before any row moves, and the join needs no further shuffle of them
+    first = Window.partitionBy("key").orderBy(F.xxhash64(*hashable))
+    once = keyed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return once.join(keep, "key").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out the words of repeated passages; a text that lost words is the words left, joined by one space."""
-    out = substring.with_cut(docs).withColumn("__lost", F.col("__cut.n_removed") > 0)
-    text = F.when(F.col("__lost"), F.col("__cut.kept")).otherwise(F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = substring.with_cut(docs.select(row, F.col("doc_id").alias("id"), F.col("text").alias("words")), "words", "id")
+    lost = F.col("__cut.n_removed") > 0
+    text = F.when(lost, F.col("__cut.kept")).otherwise(F.col("row.text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__lost"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", text).select(docs.columns)
+        new["n_chars"] = F.when(lost, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
