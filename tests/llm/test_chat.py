@@ -61,3 +61,21 @@ def test_machine_and_edges(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.op4_chat(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_states_and_flags_equal_a_plain_machine(spark):
+    rng = random.Random(8)
+    seqs = [[rng.choice(["system", "user", "assistant", "tool", "odd", "start", "error"][: rng.choice([3, 4, 7])]) for _ in range(rng.randint(1, 7))] for _ in range(400)]
+    df = spark.createDataFrame([(c, i, r, f"t{i}") for c, s in enumerate(seqs) for i, r in enumerate(s)], "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(df).collect():
+        state, out = "start", []
+        for i, role in enumerate(seqs[r["conv_id"]]):
+            state = role if role in chat.TEMPLATE.turns.get(state, ()) and state != "error" else "error"
+            opening, closing, loss = chat.TEMPLATE.roles.get(role, (f"[ROLE]{role}[:]", "[/ROLE]", False))
+            out += [(opening, False), (f"t{i}", loss), (closing, False)]
+        assert r["state"] == state and [tuple(s) for s in r["segments"]] == out
+
+
+def test_the_plan_of_the_query_holds_the_machine(spark, sf):
+    plan = queries.op4_chat(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(edge in plan for edge in ("start>user", "assistant>tool", "error>assistant"))

@@ -2,8 +2,12 @@
 
 The template gives each role an opening and a closing mark and a loss flag; other roles are written with their name.
 Control strings (the marks) inside texts get a backslash after their first character, backslashes are doubled, so a
-formatted conversation splits at its marks and every text comes back unchanged. A finite-state machine runs over the
-roles; it ends in ``error`` where the turn order breaks the transitions.
+formatted conversation splits at its marks and every text comes back unchanged.
+
+A finite-state machine runs over the roles. Its edges, one per state and role, hold the next state and what the turn
+emits: opening mark, closing mark, loss flag. A state is called after the role that led to it; a turn that no edge
+of the current state allows leads to ``error``, which no turn leaves. Edges from ``error`` emit as the others do, so an
+invalid conversation is formatted whole and its state says so.
 
 Turns are ordered by turn, then role, then text; null turns come first. Null texts and roles are empty strings.
 Turns without conversation id form one conversation whose id is null. Equal rows are separate turns.
@@ -65,34 +69,48 @@ def unescape(text: Column, t: Template = TEMPLATE) -> Column:
     return F.replace(F.regexp_replace(text, t.pattern(r"\\"), "$1$2"), F.lit("\\\\"), F.lit("\\"))
 
 
-def _by_role(role: Column, t: Template, place: int, other: Column) -> Column:
-    out = other
-    for name, parts in t.roles.items():
-        out = F.when(role == name, F.lit(parts[place])).otherwise(out)
+def edges(t: Template = TEMPLATE) -> dict[str, tuple[str, str, str, bool]]:
+    """``state>role`` -> (next state, opening mark, closing mark, loss flag), for all states and the roles listed."""
+    out = {}
+    for state in [*t.turns, "error"]:
+        for role, (opening, closing, loss) in t.roles.items():
+            out[f"{state}>{role}"] = (role if role in t.turns.get(state, ()) else "error", opening, closing, loss)
     return out
 
 
-def segments(turn: Column, t: Template = TEMPLATE) -> Column:
-    """The three segments of a turn: mark, text, mark; with the loss flag of each."""
-    role = turn["role"]
-    name = F.concat(F.lit(t.other[0]), escape(role, t), F.lit(t.other[1]))
-    part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    return F.array(part(_by_role(role, t, 0, name), F.lit(False)), part(escape(turn["text"], t), _by_role(role, t, 2, F.lit(False))), part(_by_role(role, t, 1, F.lit(t.other[2])), F.lit(False)))
+def run_machine(turns: Column, t: Template = TEMPLATE) -> Column:
+    """For every turn what the machine emits on its edge: array<struct<state, opening, text, closing, loss>>.
 
+    The state before a turn is its predecessor's role, unless a turn before it had no edge; so all steps are found
+    from the place of the first such turn, and a conversation of n turns takes n steps.
+    """
+    step = lambda state, nxt, opening, closing, loss: F.struct(state.alias("state"), nxt.alias("next"), opening.alias("opening"), closing.alias("closing"), loss.alias("loss"))
+    known = edges(t)
+    table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[step(F.lit(k.split(">")[0]), *map(F.lit, e)) for k, e in known.items()]))
+    allowed = F.array(*[F.lit(k) for k, e in known.items() if e[0] != "error"])
+    edge = lambda state, role: F.concat(state, F.lit(">"), role)
+    before = lambda i: F.coalesce(F.get(turns, i - 1)["role"], F.lit("start"))
+    # places count from 1; 0: every turn has an edge
+    first_bad = F.array_position(F.transform(turns, lambda x, i: F.array_contains(allowed, edge(before(i), x["role"]))), False)
 
-def final_state(turns: Column, t: Template = TEMPLATE) -> Column:
-    """State of the machine after all turns."""
-    steps = [F.lit(f"{state}>{role}") for state, roles in t.turns.items() for role in roles]
-    goes = [F.lit(role) for roles in t.turns.values() for role in roles]
-    table = F.map_from_arrays(F.array(*steps), F.array(*goes))
-    return F.aggregate(turns, F.lit("start"), lambda state, x: F.coalesce(F.try_element_at(table, F.concat(state, F.lit(">"), x["role"])), F.lit("error")))
+    def emit(x: Column, i: Column) -> Column:
+        state = F.when((first_bad > 0) & (i >= first_bad), F.lit("error")).otherwise(before(i))
+        name = F.concat(F.lit(t.other[0]), escape(x["role"], t), F.lit(t.other[1]))
+        other = step(state, F.lit("error"), name, F.lit(t.other[2]), F.lit(False))
+        taken = F.coalesce(F.try_element_at(table, edge(state, x["role"])), other)
+        return F.struct(taken["next"].alias("state"), taken["opening"].alias("opening"), escape(x["text"], t).alias("text"), taken["closing"].alias("closing"), taken["loss"].alias("loss"))
+
+    return F.transform(turns, emit)
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = TEMPLATE) -> DataFrame:
     """(conv, segments array<struct<text, loss>>, formatted string, state, valid) per conversation."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chats = rows.groupBy(F.col(conv).alias(conv)).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    made = chats.select(conv, F.flatten(F.transform("turns", lambda x: segments(x, template))).alias("segments"), final_state(F.col("turns"), template).alias("state"))
+    steps = chats.select(conv, run_machine(F.col("turns"), template).alias("steps"))
+    part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    parts = F.flatten(F.transform("steps", lambda s: F.array(part(s["opening"], F.lit(False)), part(s["text"], s["loss"]), part(s["closing"], F.lit(False)))))
+    made = steps.select(conv, parts.alias("segments"), F.get("steps", F.size("steps") - 1)["state"].alias("state"))
     formatted = F.array_join(F.transform("segments", lambda s: s["text"]), "")
     return made.select(conv, "segments", formatted.alias("formatted"), "state", F.col("state").isin(*template.final).alias("valid"))
 

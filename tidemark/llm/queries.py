@@ -50,6 +50,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         digest(F.col("loss")).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "valid",
     )
 
 

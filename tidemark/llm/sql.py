@@ -1,18 +1,21 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 #: What a conversation that consists of control strings adds to the table.
-_CHATS = """(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+_CHATS = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')"""
 
 ORACLE_SQL = {
     "op4_chat": f"""
-        WITH c AS (SELECT *, regexp_replace(replace(text, '\\', '\\\\'), '([<\\[])(/?(?:SYS|INST|TOOL|ROLE)\\]|:\\]|/?s>)', '\\1\\\\\\2', 'g') AS escaped FROM {_CHATS})
+        WITH c AS (SELECT *, regexp_replace(replace(text, '\\', '\\\\'), '([<\\[])(/?(?:SYS|INST|TOOL|ROLE)\\]|:\\]|/?s>)', '\\1\\\\\\2', 'g') AS escaped,
+            lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || '>' || role AS step FROM {_CHATS}),
+        m AS (SELECT *, step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>tool', 'tool>assistant') AS fine FROM c)
         SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(length(escaped) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'tool' THEN 13 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
-        FROM c GROUP BY conv_id
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(escaped) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'tool' THEN 13 ELSE 16 + length(replace(role, '\\', '\\\\')) + len(regexp_extract_all(role, '[<\\[](?:/?(?:SYS|INST|TOOL|ROLE)\\]|:\\]|/?s>)')) END) AS BIGINT) AS formatted_chars,
+            CASE WHEN bool_and(fine) THEN arg_max(role, place) ELSE 'error' END AS state, bool_and(fine) AND arg_max(role, place) = 'assistant' AS valid
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM m) GROUP BY conv_id
     """,
     "op5_embed_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
