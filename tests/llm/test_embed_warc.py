@@ -132,6 +132,19 @@ def test_warc_long_urls(spark):
     assert {r["page_id"]: r["url"] for r in got} == {i: u for i, u, _ in pages}
 
 
+def test_archives_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 1 << 20)
+    monkeypatch.setattr(warc, "SIZES", (8 << 10, 64 << 10, 1 << 20))
+    df = spark.range(900).selectExpr("id AS page_id", "'u' AS url", "repeat(concat(id, 'x'), cast(if(id % 300 = 0, 700000, if(id % 9 = 0, 9000, 900)) AS int)) AS html")
+    path = _shared.Scratch(spark).path("warc")
+    warc.write(df.coalesce(1), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    records = [warc.gzip.decompress(f["content"]) for f in files]
+    assert all(len(r) <= 1 << 20 or r.count(warc.MAGIC) == 1 for r in records) and max(map(len, records)) > 1 << 20
+    got = warc.read(spark, path)
+    assert got.count() == 900 and got.select("page_id").distinct().count() == 900
+
+
 def test_warc_query(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(tuple(r) for r in queries.op6_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == expected(pages)

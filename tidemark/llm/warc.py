@@ -1,7 +1,7 @@
 """WARC archives: written from pages with revisit records, read back with boundary-chain verification.
 
 Writing uses Spark's own text writer with the record separator as line separator, so archives go through Spark's
-commit protocol to any file system it knows, gzip-compressed. Of records with equal payloads of at least 100 bytes
+commit protocol to any file system it knows, gzip-compressed, in files of bounded size. Of records with equal payloads of at least 100 bytes
 the one with the smallest page id is a response, the others are revisits that refer to it.
 
 Reading: a task looks for the magic in its archive and emits, for each occurrence that has a header, a candidate
@@ -10,7 +10,9 @@ successors from the file's start reaches it: pointer jumping doubles the steps e
 its file does raises an error: the archive is damaged.
 
 Null html is an empty payload. Null urls have no target header. Rows with equal ids and equal payloads are of the
-same type. A null page id never counts as the smallest unless all ids of the payload are null.
+same type. A null page id never counts as the smallest unless all ids of the payload are null. Urls and payloads have any
+length up to Spark's 2 GB of a value. An empty table gives an archive folder without records; other columns, whatever
+their names, are not written.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import Scratch, bounded_batches
@@ -29,8 +31,10 @@ from tidemark.llm._shared import Scratch, bounded_batches
 MAGIC = b"WARC/1.0\r\n"
 _LENGTH = b"\r\nContent-Length: "
 LEAST = 100
-#: Records of an archive at most; Spark starts another file then.
-RECORDS = 20_000
+#: Bytes of an archive before compression, at most; only a single record may be longer. Records are written by size,
+#: those of up to so many bytes into common files, so that a number of records bounds the bytes of a file.
+ARCHIVE = 64 << 20
+SIZES = (8 << 10, 64 << 10, 1 << 20, 16 << 20)
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
@@ -39,8 +43,16 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload")})
+    # a bound of the record's length: the header's own lines are short, and a line end in a url takes three bytes
+    length = F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3 + 1024
+    size = F.lit(len(SIZES))
+    for i in reversed(range(len(SIZES))):
+        size = F.when(length <= SIZES[i], i).otherwise(size)
+    rows = rows.withColumn("size", size)
+    seen = Observation()
+    watched = rows.observe(seen, *[F.count_if(F.col("size") == i).alias(f"n{i}") for i in range(len(SIZES) + 1)])
     # only ids and digests are compared; a payload that thousands share is one row per task and then one in all
-    small = scratch.keep(rows.where(F.col("bytes") >= LEAST).select("id", "digest"), "digests")
+    small = scratch.keep(watched.where(F.col("bytes") >= LEAST).select("id", "digest"), "digests")
     firsts = scratch.keep(small.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
     again = scratch.keep(small.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).distinct(), "revisits")
     again = again.select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "first")
@@ -60,7 +72,12 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name("first"), nl, F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), nl, nl, block,
     )
-    joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    used = [i for i in range(len(SIZES) + 1) if seen.get[f"n{i}"]] or [0]
+    for i in used:
+        most = ARCHIVE // SIZES[i] if i < len(SIZES) else 1
+        out = joined.where(F.col("size") == i).select(record.alias("value"))
+        mode = "error" if i == used[0] else "append"
+        out.write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _fields(data: bytes, start: int, end: int) -> dict[bytes, bytes]:
