@@ -10,18 +10,19 @@ from hypothesis import strategies as st
 from tidemark.llm import licenses, queries, topk
 
 
-def brute(docs, asked, k=10, terms=16):
-    """{query: [(id, score)]} with scores added in the order of the terms."""
+def brute(docs, asked, k=10, terms=None):
+    """{query: [(id, score)]} with scores added in the order of document frequency and term; ``terms``: the rarest of df >= 2."""
     counts = [(d, Counter((t or "").encode().lower().split())) for d, t in docs]
     df = Counter(t for _, c in counts for t in c)
     mean = max(sum(sum(c.values()) for _, c in counts) / max(len(counts), 1), 1e-9)
     out = {}
     for q, text in asked:
-        own = sorted((df[t], t) for t in set((text or "").encode().lower().split()) if df[t] >= 2)[:terms]
+        own = sorted((df[t], t) for t in set((text or "").encode().lower().split()))
+        own = own if terms is None else [x for x in own if x[0] >= 2][:terms]
         scored = []
         for d, c in counts:
             n, s, hit = sum(c.values()), 0.0, False
-            for f, t in sorted(own, key=lambda x: x[1]):
+            for f, t in own:
                 if c[t]:
                     w = float(np.log(1 + (len(docs) - f + 0.5) / (f + 0.5)))
                     s += w * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / mean))
@@ -88,46 +89,95 @@ def test_whole_texts_are_queries(spark, sf):
     same(ranked(topk.more_like_these(df, df.where("doc_id % 100 = 0")).collect()), want)
 
 
+def postings(weight, docs, tfs, lengths, stats=None, mean=100.0):
+    docs, tfs = np.asarray(docs, "<u2"), np.asarray(tfs, "<u4")
+    bounds, _ = topk._bounds(docs, tfs, lengths, np.array([0, len(docs)]))
+    norm = topk.K1 * (1 - topk.B + topk.B * lengths / mean)
+    return topk.Postings(weight, docs.tobytes(), tfs.tobytes(), bounds.tobytes(), norm, mean, stats)
+
+
+def made_lists(rng, n, n_lists, stats, shares=(0.002, 0.05, 0.6), weights=(0.1, 1.0, 5.0)):
+    lengths = rng.choice(np.array([40, 100, 300], "<u4"), n)
+    lists = []
+    for _ in range(n_lists):
+        docs = np.flatnonzero(rng.random(n) < rng.choice(shares))
+        if len(docs):
+            tfs = rng.integers(1, 4, len(docs))
+            weight = float(rng.choice(weights))
+            lists.append((weight, docs, tfs))
+    total = np.zeros(n)
+    for w, d, t in lists:
+        total[d] += postings(w, d, t, lengths).all()[1]
+    return [postings(w, d, t, lengths, stats) for w, d, t in lists], total
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 6), st.integers(1, 12))
 def test_wand_is_exact_and_prunes(seed, n_lists, k):
-    rng = np.random.default_rng(seed)
-    n = 3000
-    norm = rng.choice([0.5, 1.0, 2.0], n)
-    lists, total = [], np.zeros(n)
-    seen = np.zeros(n, bool)
-    for _ in range(n_lists):
-        docs = np.flatnonzero(rng.random(n) < rng.choice([0.002, 0.05, 0.6]))
-        if not len(docs):
-            continue
-        post = np.empty(len(docs), topk._POST)
-        post["doc"], post["tf"] = docs, rng.integers(1, 4, len(docs))
-        p = topk.Postings(float(rng.choice([0.1, 1.0, 5.0])), post, norm)
-        total[docs] += p.scores
-        seen[docs] = True
-        lists.append(p)
     stats = Counter()
+    lists, total = made_lists(np.random.default_rng(seed), 3000, n_lists, stats)
+    want = sorted(((-total[d], int(d)) for d in np.flatnonzero(total)))[:k]
     got = topk.wand(lists, k, stats)
-    want = sorted(((-total[d], int(d)) for d in np.flatnonzero(seen)))[:k]
     assert [(d, -s) for s, d in want] == [(d, s) for s, d in got]
-    assert stats["scored"] <= seen.sum()
+    assert stats["documents"] <= (total > 0).sum()
     floor = -want[-1][0] if want else 0.0  # a floor drops nothing that reaches it
-    again = []
+    assert topk.wand(lists, k, floor=floor) == got
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 12), st.booleans())
+def test_wand_by_list_is_exact(seed, n_lists, k, floored):
+    lists, total = made_lists(np.random.default_rng(seed), 3000, n_lists, None, shares=(0.0005, 0.01, 0.6))
+    lists.sort(key=lambda p: p.n)
+    total = np.zeros(3000)
     for p in lists:
-        p.at, p.doc = 0, int(p.docs[0])
-        again.append(p)
-    assert topk.wand(again, k, floor=floor) == got
+        total[p.docs.astype(int)] += p.weight * p.tfs.astype(float) * 2.2 / (p.tfs.astype(float) + p.norm[p.docs])
+    want = sorted(((-total[d], int(d)) for d in np.flatnonzero(total)))[:k]
+    floor = -want[-1][0] if floored and want else 0.0
+    assert [(s, d) for s, d in topk.wand_by_list(lists, np.zeros(3000), k, floor)] == [(-s, d) for s, d in want]
 
 
 def test_wand_skips_blocks():
     rng = np.random.default_rng(1)
     n = 50000
-    norm = np.ones(n)
-    post = np.empty(n, topk._POST)
-    post["doc"], post["tf"] = np.arange(n), np.where(np.arange(n) < 200, 50, rng.integers(1, 3, n))
+    lengths = np.full(n, 100, "<u4")
+    tfs = np.where(np.arange(n) < 200, 50, rng.integers(1, 3, n))
     stats = Counter()
-    topk.wand([topk.Postings(1.0, post, norm), topk.Postings(0.5, post[::7].copy(), norm)], 10, stats)
-    assert stats["scored"] < 500
+    lists = [postings(1.0, np.arange(n), tfs, lengths, stats), postings(0.5, np.arange(n)[::7], tfs[::7], lengths, stats)]
+    topk.wand(lists, 10, stats)
+    assert stats["documents"] < 500 and stats["scored"] < 1000
+    # a rare term decides: of the common list only the blocks of its documents are decoded
+    stats.clear()
+    lists = [postings(9.0, np.arange(0, n, 2500), np.full(20, 3), lengths, stats), postings(0.3, np.arange(n), tfs, lengths, stats)]
+    got = topk.wand_by_list(lists, np.zeros(n), 10, floor=5.0)
+    assert len(got) == 10 and stats["scored"] <= 20 + 20 * topk.BLOCK
+
+
+def test_searches_leave_postings_unscored(spark):
+    """Over all queries of a table, search by search: fewer postings are scored than their lists hold."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    counts = [Counter((t or "").encode().lower().split()) for _, t in docs]
+    lengths = np.array([sum(c.values()) for c in counts], "<u4")
+    mean, inverted = float(lengths.mean()), {}
+    for d, c in enumerate(counts):
+        for t, f in c.items():
+            inverted.setdefault(t, []).append((d, f))
+    held = stats = 0
+    for (i, _), c in zip(docs, counts):
+        if i % 100 == 0 and c:
+            seen = Counter()
+            own = sorted(c, key=lambda t: (len(inverted[t]), t))
+            lists = [postings(topk.idf(len(docs), len(inverted[t])), *zip(*inverted[t]), lengths, seen, mean) for t in own]
+            # the k-th score that earlier shards have found, as in the second and third round
+            floor = topk.wand_by_list(lists, np.zeros(len(docs)), 10)[-1][0]
+            seen.clear()
+            fresh = [postings(topk.idf(len(docs), len(inverted[t])), *zip(*inverted[t]), lengths, seen, mean) for t in own]
+            again = topk.wand_by_list(fresh, np.zeros(len(docs)), 10, floor)
+            assert again == topk.wand_by_list(lists, np.zeros(len(docs)), 10)
+            held += sum(len(inverted[t]) for t in own)
+            stats += seen["scored"]
+    print("scored", stats, "of", held)
+    assert stats < 0.8 * held  # long queries over even lists: their maxima add up to much
 
 
 def test_licence_lines(spark):

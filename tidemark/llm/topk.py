@@ -1,20 +1,27 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge.
 
 Indexing: a task turns the documents of its partition into shards of bounded size. A shard has a row per term with
-its postings (document's place, term frequency) and one row for its documents (ids in rising order, lengths). The
-document frequency of a term, the number of documents and their mean length are sums over all shards, so a score
-does not depend on the sharding.
-
-Searching: postings of the terms asked for are gathered by shard, and each shard gets every query. A query of more
-than ``FEW`` terms adds up its lists in arrays, since bounds of so many lists exclude little; for shorter ones
-block-max WAND walks the postings document by document: it skips documents whose lists' maxima, and blocks
-whose block maxima, can't beat the k-th score so far. Both give the same results. Each shard returns its own k best;
-the best of these are exact. The shards take part in three rounds, each of about five times as many as the round before; a round starts from the k-th score that the earlier ones found for a query,
-so that shards skip, and do not return, what can't be among the k best of all. Equal scores rank by id.
+its postings (documents' places and term frequencies) and one row for its documents (ids in rising order, lengths). A
+list of more than one block also holds, for every block of ``BLOCK`` postings, its last document, its largest term
+frequency and the length of its shortest document: whatever the corpus statistics, no posting of the block scores more
+than these two together. The document frequency of a term, the number of documents and their mean length are sums
+over all shards, so a score does not depend on the sharding.
+
+Searching: postings of the terms asked for are gathered by shard and slice of the queries, a slice being a bounded
+number of queries, so that neither many documents nor many queries make a task long. Lists are walked from the rarest
+term to the commonest. A query of up to ``FEW`` terms is walked document by document: documents whose lists' maxima,
+and blocks whose block maxima, can't reach the k-th score so far are skipped. A longer query takes its lists whole
+until the maxima of the remaining ones add up to less than the k-th score so far; from there on only documents seen
+before can win, and of a list only the blocks that hold one of them whose ceiling (score so far, block maximum,
+maxima of the lists after it) reaches the k-th score are decoded. A task decodes and scores a block at most once for
+all of its queries. Each shard returns its own k best; the best of these are exact. The shards take part in three
+rounds, each of about five times as many as the round before; a round starts from the k-th score that the earlier ones
+found for a query, so that shards skip, and do not return, what can't be among the k best of all. Equal scores rank by
+id.
 
 Terms are the words of the text, A-Z lower-cased. Null and empty texts have no terms and match nothing, but count as
 documents. Rows without id are indexed and returned without id, after all others of equal score. Repeated rows are
-separate documents.
+separate documents. Empty tables, of documents or of queries, give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +40,12 @@ from tidemark.llm._shared import Scratch, bounded_batches
 from tidemark.llm.bpe import raw_texts
 
 K1, B = 1.2, 0.75
-#: Words of a shard, postings of a block.
-SHARD, BLOCK = 6_000_000, 64
-#: Terms of a query up to which WAND walks its lists.
-FEW = 16
+#: Words and documents of a shard, postings of a block.
+SHARD, DOCS, BLOCK = 6_000_000, 1 << 16, 64
+#: Terms of a query up to which it is walked document by document; queries of a slice.
+FEW, SLICE = 16, 2048
 NO_ID = 2**63 - 1
-_POST = np.dtype([("doc", "<u4"), ("tf", "<u4")])
+_BOUND = np.dtype([("last", "<u2"), ("tf", "<u4"), ("least", "<u4")])
 _DOCS = np.dtype([("id", "<i8"), ("n", "<u4")])
 
 
@@ -48,32 +55,58 @@ class _Vocabulary(dict):
         return n
 
 
+_SCHEMA = "shard bigint, term string, n bigint, total bigint, docs binary, tfs binary, bounds binary"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that are the stretches of an array between ``ends``."""
+    offsets = ((ends - ends[0]) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ends[0] : ends[-1]].tobytes())])
+
+
+def _bounds(docs: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block bounds of all lists between ``ends``, and where each list's bounds end; none for lists of one block."""
+    sizes = np.diff(ends)
+    blocks = np.where(sizes > BLOCK, -(-sizes // BLOCK), 0)
+    where = np.concatenate([[0], np.cumsum(blocks)])
+    many = np.repeat(sizes > BLOCK, sizes)
+    docs, tfs = docs[many], tfs[many]
+    first = np.concatenate([[0], np.cumsum(sizes[blocks > 0])])
+    own = np.repeat(np.arange(len(first) - 1), blocks[blocks > 0])
+    starts = first[own] + BLOCK * (np.arange(len(own)) - np.concatenate([[0], np.cumsum(blocks[blocks > 0])])[own])
+    out = np.empty(len(starts), _BOUND)
+    if len(starts):
+        out["last"] = docs[np.append(starts[1:], len(docs)) - 1]
+        out["tf"], out["least"] = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths[docs], starts)
+    return out, where
+
+
 def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(shard, term, n, total, data): a row per term of a shard, and one for its documents, whose term is null."""
+    """(shard, term, n, total, docs, tfs, bounds): a row per term of a shard, and one for its documents, whose term is null."""
     bounded_batches(docs.sparkSession)
-    names = ["shard", "term", "n", "total", "data"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["shard", "term", "n", "total", "docs", "tfs", "bounds"]
 
     def flush(shard: int, ids: list[int], sizes: list[int], terms: list[np.ndarray], tfs: list[np.ndarray], vocabulary: _Vocabulary) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        post = np.empty(sum(map(len, terms)), _POST)
-        post["doc"] = np.repeat(np.arange(len(order)), [len(terms[i]) for i in order])
-        post["tf"] = np.concatenate([tfs[i] for i in order])
+        doc = np.repeat(np.arange(len(order), dtype=np.uint16), [len(terms[i]) for i in order])
+        tf = np.concatenate([tfs[i] for i in order])
         docs = np.empty(len(order), _DOCS)
         docs["id"], docs["n"] = [ids[i] for i in order], [sizes[i] for i in order]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([shard], [None], [len(order)], [int(docs["n"].sum())], [docs.tobytes()]), kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([shard], [None], [len(order)], [int(docs["n"].sum())], [docs.tobytes()], [None], [None]), _KINDS)], names)
         terms = np.concatenate([terms[i] for i in order])
         by_term = np.argsort(terms, kind="stable")
-        post, sizes = post[by_term], np.bincount(terms, minlength=len(vocabulary))
+        doc, tf, sizes = doc[by_term], tf[by_term], np.bincount(terms, minlength=len(vocabulary))
         ends = np.concatenate([[0], np.cumsum(sizes)])
+        bounds, where = _bounds(doc, tf, docs["n"], ends)
         words = list(vocabulary)
         for at in range(0, len(words), 20_000):
-            n = min(20_000, len(words) - at)
-            data = post[ends[at] : ends[at + n]].tobytes()
-            offsets = ((ends[at : at + n + 1] - ends[at]) * _POST.itemsize).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-            size = pa.array(sizes[at : at + n])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([w.decode("utf-8", "replace") for w in words[at : at + n]]), size, size, blobs], names)
+            to = min(at + 20_000, len(words))
+            part = tf[ends[at] : ends[to]]
+            small = part.astype(np.uint8 if part.max(initial=0) < 1 << 8 else np.uint16 if part.max() < 1 << 16 else np.uint32)
+            size = pa.array(sizes[at:to])
+            columns = [_blobs(doc, ends[at : to + 1]), _blobs(small, ends[at : to + 1] - ends[at]), _blobs(bounds, where[at : to + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(to - at, shard)), pa.array([w.decode("utf-8", "replace") for w in words[at:to]]), size, size, *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, words = TaskContext.get().partitionId() << 32, ([], [], [], [], _Vocabulary()), 0
@@ -85,13 +118,13 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 for to, x in zip(held, row):
                     to.append(x)
                 words += len(own)
-                if words >= SHARD:
+                if words >= SHARD or len(held[0]) == DOCS:
                     yield from flush(shard, *held)
                     shard, held, words = shard + 1, ([], [], [], [], _Vocabulary()), 0
         if held[0]:
             yield from flush(shard, *held)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "shard bigint, term string, n bigint, total bigint, data binary")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").alias("_text")).mapInArrow(run, _SCHEMA)
 
 
 def words_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -118,30 +151,74 @@ def idf(n: int, df: int) -> float:
 
 
 class Postings:
-    """One term's list in a shard, with the score of each posting and block maxima."""
-
-    def __init__(self, weight: float, post: np.ndarray, norm: np.ndarray) -> None:
-        tf = post["tf"].astype(np.float64)
-        self.docs = post["doc"].astype(np.int64)
-        self.scores = weight * tf * (K1 + 1) / (tf + norm[self.docs])
-        starts = np.arange(0, len(tf), BLOCK)
-        self.most = float(self.scores.max())
-        self.block_most = np.maximum.reduceat(self.scores, starts).tolist()
-        self.block_last = self.docs[np.minimum(starts + BLOCK, len(tf)) - 1].tolist()
-        self.at = 0
-        self.doc = int(self.docs[0])
+    """One term's list in a shard: bounds of its blocks at once, scores of a block when they are asked for."""
+
+    def __init__(self, weight: float, docs: bytes, tfs: bytes, bounds: bytes, norm: np.ndarray, mean: float, stats: Counter | None = None) -> None:
+        self.raw, self.weight, self.norm, self.stats = docs, weight, norm, stats
+        self.n = len(docs) // 2
+        self.tfs = np.frombuffer(tfs, f"<u{len(tfs) // self.n}")
+        self.docs = np.frombuffer(docs, "<u2")
+        self.scores = np.empty(self.n)
+        own = np.frombuffer(bounds, _BOUND)
+        self.ready = np.zeros(max(1, len(own)), bool)
+        if len(own):
+            tf = own["tf"].astype(np.float64)
+            self.block_last = own["last"].astype(np.int64)
+            self.block_most = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["least"] / mean))
+        else:  # a list of one block has no bounds but itself
+            self.decode(np.zeros(1, np.int64))
+            self.block_last, self.block_most = self.docs[-1:].astype(np.int64), np.array([self.scores.max()])
+        self.most = float(self.block_most.max())
+        self.whole: tuple[np.ndarray, np.ndarray] | None = None
+
+    def decode(self, blocks: np.ndarray) -> None:
+        """Score the postings of these blocks, unless that has been done."""
+        for b in blocks[~self.ready[blocks]].tolist():
+            at = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
+            tf = self.tfs[at].astype(np.float64)
+            self.scores[at] = self.weight * tf * (K1 + 1) / (tf + self.norm[self.docs[at]])
+            self.ready[b] = True
+            if self.stats is not None:
+                self.stats["scored"] += len(tf)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of all postings."""
+        if self.whole is None:
+            if not self.ready.all():
+                at = ~np.repeat(self.ready, BLOCK)[: self.n]
+                tf = self.tfs[at].astype(np.float64)
+                self.scores[at] = self.weight * tf * (K1 + 1) / (tf + self.norm[self.docs[at]])
+                self.ready[:] = True
+                if self.stats is not None:
+                    self.stats["scored"] += len(tf)
+            self.whole = self.docs.astype(np.intp), self.scores
+        return self.whole
+
+    def block_of(self, docs: np.ndarray) -> np.ndarray:
+        """The block that would hold each document; the number of blocks if it lies beyond all."""
+        return np.searchsorted(self.block_last, docs)
+
+
+class Cursor:
+    """A place in a list."""
+
+    def __init__(self, p: Postings) -> None:
+        self.p, self.at, self.doc, self.most = p, 0, int(p.docs[0]), p.most
 
     def go(self, doc: int) -> None:
-        """To the first posting at ``doc`` or beyond."""
-        self.at += int(np.searchsorted(self.docs[self.at :], doc))
-        self.doc = int(self.docs[self.at]) if self.at < len(self.docs) else NO_ID
+        """To the first posting at ``doc`` or beyond; blocks in between stay undecoded."""
+        if doc > self.doc:
+            block = max(self.at // BLOCK, int(np.searchsorted(self.p.block_last, doc)))
+            lo = max(self.at, block * BLOCK)
+            self.at = lo + int(np.searchsorted(self.p.docs[lo : (block + 1) * BLOCK], doc))
+            self.doc = int(self.p.docs[self.at]) if self.at < self.p.n else NO_ID
+
+    def score(self) -> float:
+        self.p.decode(np.array([self.at // BLOCK]))
+        return float(self.p.scores[self.at])
 
     def block(self, doc: int) -> int:
-        """The block that would hold ``doc``; the number of blocks if it lies beyond all."""
-        b = self.at // BLOCK
-        while b < len(self.block_last) and self.block_last[b] < doc:
-            b += 1
-        return b
+        return int(np.searchsorted(self.p.block_last, doc))
 
 
 #: Sums of bounds may round below the sum of scores; bounds are raised by so much.
@@ -151,17 +228,18 @@ _ROUND = 1 + 1e-12
 def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: float = 0.0) -> list[tuple[float, int]]:
     """The k best (score, document) that score at least ``floor``, best first; equal scores by document.
 
-    Scores add up in the order of ``lists``.
+    Scores add up in the order of ``lists``. Block-max WAND, document by document.
     """
     heap: list[tuple[float, int]] = []
     least = 0.0
-    place = {id(p): i for i, p in enumerate(lists)}
-    live = list(lists)
+    cursors = [Cursor(p) for p in lists]
+    place = {id(c): i for i, c in enumerate(cursors)}
+    live = cursors
     while True:
-        live = sorted((p for p in live if p.doc != NO_ID), key=lambda p: p.doc)
+        live = sorted((c for c in live if c.doc != NO_ID), key=lambda c: c.doc)
         bound, pivot = 0.0, None
-        for i, p in enumerate(live):
-            bound += p.most
+        for i, c in enumerate(live):
+            bound += c.most
             if bound * _ROUND >= floor and (bound * _ROUND > least or len(heap) < k):
                 pivot = i
                 break
@@ -171,22 +249,22 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
         while pivot + 1 < len(live) and live[pivot + 1].doc == doc:
             pivot += 1
         head = live[: pivot + 1]
-        blocks = [p.block(doc) for p in head]
-        ceiling = sum(p.block_most[b] for p, b in zip(head, blocks) if b < len(p.block_most))
+        blocks = [c.block(doc) for c in head]
+        ceiling = sum(float(c.p.block_most[b]) for c, b in zip(head, blocks) if b < len(c.p.block_most))
         if ceiling * _ROUND < floor or len(heap) == k and ceiling * _ROUND <= least:
             # no document up to the end of the nearest block can do it
-            ends = [p.block_last[b] + 1 for p, b in zip(head, blocks) if b < len(p.block_last)]
+            ends = [int(c.p.block_last[b]) + 1 for c, b in zip(head, blocks) if b < len(c.p.block_last)]
             nxt = min([*ends, *([live[pivot + 1].doc] if pivot + 1 < len(live) else [])], default=NO_ID)
-            for p in head:
-                p.go(max(nxt, doc + 1))
+            for c in head:
+                c.go(max(nxt, doc + 1))
             continue
         if head[0].doc == doc:
             score = 0.0
-            for p in sorted(head, key=lambda p: place[id(p)]):
-                score += float(p.scores[p.at])
-                p.go(doc + 1)
+            for c in sorted(head, key=lambda c: place[id(c)]):
+                score += c.score()
+                c.go(doc + 1)
             if stats is not None:
-                stats["scored"] += 1
+                stats["documents"] += 1
             # documents come in rising order, so an equal score does not displace an earlier one
             if score < floor:
                 continue
@@ -196,18 +274,57 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
                 heapq.heapreplace(heap, (score, -doc))
             least = heap[0][0] if len(heap) == k else 0.0
         else:
-            for p in head:
-                if p.doc < doc:
-                    p.go(doc)
+            for c in head:
+                if c.doc < doc:
+                    c.go(doc)
     return [(s, -d) for s, d in sorted(heap, key=lambda x: (-x[0], -x[1]))]
 
 
-def add_up(lists: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
-    """As ``wand``, for (documents, scores) of each list: every posting is added to ``total``, an array by document."""
+def wand_by_list(lists: list[Postings], total: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
+    """As ``wand``, list by list for all documents at once; ``total`` is an array by document to work in.
+
+    Lists are taken whole until what remains can't lift a document that none of them has to the k-th score; then only
+    the documents that can still reach it are looked up, in the blocks whose maxima let them.
+    """
     total.fill(0)
-    for docs, scores in lists:
+    rest = np.append(np.cumsum([p.most for p in reversed(lists)])[::-1][1:], 0.0) * _ROUND if lists else np.zeros(0)
+    least, i = floor, 0
+    step = max(8, len(lists) // 8)  # how often the k-th score is looked up
+    for i, p in enumerate(lists):
+        docs, scores = p.all()
         total[docs] += scores
-    least = np.partition(total, -k)[-k] if k < len(total) else 0.0
+        if rest[i] < least:
+            break
+        if i % step == step - 1 and k < len(total):
+            least = max(least, float(np.partition(total, -k)[-k]))
+            if rest[i] < least:
+                break
+    after = i + 1
+    if after < len(lists):
+        seen = np.flatnonzero((total > 0) & (total * _ROUND + rest[after - 1] >= least))
+        for i in range(after, len(lists)):
+            p = lists[i]
+            if not len(seen):
+                break
+            if len(seen) >= p.n:  # looking them up costs more than the list has
+                docs, scores = p.all()
+                total[docs] += scores
+            else:
+                most = np.append(p.block_most, 0.0)[p.block_of(seen)]
+                seen = seen[(total[seen] + most + rest[i]) * _ROUND >= least]
+                at = np.searchsorted(p.docs, seen)
+                hit = np.flatnonzero(p.docs[np.minimum(at, p.n - 1)] == seen)
+                p.decode(np.unique(at[hit] // BLOCK))
+                total[seen[hit]] += p.scores[at[hit]]
+            if (i - after) % step == step - 1:
+                if k < len(seen):
+                    least = max(least, float(np.partition(total[seen], -k)[-k]))
+                seen = seen[total[seen] * _ROUND + rest[i] >= least]
+        keep = np.zeros(len(total), bool)
+        keep[seen] = True
+        total[~keep] = 0
+    if k < len(total):
+        least = max(least, float(np.partition(total, -k)[-k]))
     found = np.flatnonzero((total >= max(least, floor)) & (total > 0))
     best = found[np.lexsort((found, -total[found]))[:k]]
     return list(zip(total[best].tolist(), best.tolist()))
@@ -219,38 +336,38 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n, mean = n or 0, max((total or 0) / max(n or 0, 1), 1e-9)
     spark = indexed.sparkSession
     scratch = Scratch(spark)
+    slices = queries.select("query").distinct().count() // SLICE + 1
+    cut = F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice")
     # sort-merge joins at every size: the terms asked for grow with the input and have no bound to broadcast by.
-    # Terms go by numbers in their order
-    terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).orderBy("term").select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
+    # Terms go by numbers in the order of their document frequencies, the order in which scores add up
+    terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).orderBy("df", "term").select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
+    numbered = scratch.keep(queries.select("query", "term", cut).join(terms.hint("merge"), "term").select("query", "slice", "term", "t", "df"), "numbered")
     turn = F.when(F.pmod(F.xxhash64("shard"), F.lit(25)) == 0, 0).when(F.pmod(F.xxhash64("shard"), F.lit(25)) < 5, 1).otherwise(2).alias("turn")
-    lists = indexed.where("term is not null").join(terms.hint("merge"), "term").select("shard", "t", "df", "data", turn)
-    used = scratch.keep(lists.unionByName(indexed.where("term is null").select("shard", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("df"), "data", turn)), "lists")
-    asked = queries.join(terms.select("term", "t").hint("merge"), "term").groupBy("query").agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    parts = ["docs", "tfs", "bounds", turn]
+    wanted = numbered.select("slice", "term", "t", "df").distinct()
+    lists = indexed.where("term is not null").join(wanted.hint("merge"), "term").select("shard", "slice", "t", "df", *parts)
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    heads = indexed.where("term is null").select("shard", every, F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("df"), *parts)
+    used = scratch.keep(lists.unionByName(heads), "lists")
+    asked = numbered.groupBy("query", "slice").agg(F.sort_array(F.collect_list("t")).alias("terms"))
     asked = scratch.keep(asked, "asked")  # as many terms as a query has
     shards = indexed.where("term is null").select(F.col("shard").alias("at"), turn)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        posts, docs, scored = {}, np.zeros(0, _DOCS), {}
-        for term, df, data in zip(*(left.column(c).to_pylist() for c in ("t", "df", "data"))):
+        found, docs = {}, np.zeros(0, _DOCS)
+        columns = [left.column(c).to_pylist() for c in ("t", "df", "docs", "tfs", "bounds")]
+        for term, _, data, _, _ in zip(*columns):
             if term is None:
                 docs = np.frombuffer(data, _DOCS)
-            else:
-                posts[term] = idf(n, df), np.frombuffer(data, _POST)
         norm = K1 * (1 - B + B * docs["n"] / mean)
-        total = np.zeros(len(docs))
-
-        def scores_of(term: int) -> tuple[np.ndarray, np.ndarray]:
-            if term not in scored:
-                weight, post = posts[term]
-                at, tf = post["doc"].astype(np.int64), post["tf"].astype(np.float64)
-                scored[term] = at, weight * tf * (K1 + 1) / (tf + norm[at])
-            return scored[term]
-
-        out = []
-        for i in range(right.num_rows):
-            query, terms, floor = (right.column(c)[i].as_py() for c in ("query", "terms", "floor"))
-            own = [t for t in terms if t in posts]
-            best = add_up(list(map(scores_of, own)), total, k, floor) if len(own) > FEW else wand([Postings(w, p, norm) for w, p in map(posts.get, own)], k, floor=floor)
+        for term, df, *blobs in zip(*columns):
+            if term is not None:
+                found[term] = Postings(idf(n, df), *blobs, norm, mean)
+        total, out = np.zeros(len(docs)), []
+        queries, floors = right.column("query").to_pylist(), right.column("floor").to_pylist()
+        for i, (query, floor) in enumerate(zip(queries, floors)):
+            own = [found[t] for t in right.column("terms")[i].as_py() if t in found]
+            best = wand(own, k, floor=floor) if len(own) <= FEW else wand_by_list(own, total, k, floor)
             out += [(query, int(docs["id"][doc]), score) for score, doc in best]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
@@ -261,9 +378,9 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for turn in range(3):
         now = F.broadcast(shards.where(F.col("turn") == turn).select("at"))  # a number per shard
         floor = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-        right = asked.join(floor, "query", "left").crossJoin(now).select("at", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
-        left = used.where(F.col("turn") == turn).select("shard", "t", "df", "data")
-        found = left.groupBy("shard").cogroup(right.groupBy("at")).applyInArrow(run, schema)
+        right = asked.join(floor, "query", "left").crossJoin(now).select("at", "slice", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+        left = used.where(F.col("turn") == turn).drop("turn")
+        found = left.groupBy("shard", "slice").cogroup(right.groupBy("at", "slice")).applyInArrow(run, schema)
         best = scratch.keep(best.drop("rank").unionByName(found).select("query", "id", "score", ranks).where(F.col("rank") <= k), "best")
     return best.select("query", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score")
 
