@@ -47,7 +47,8 @@ def same(got, want):
     assert set(got) == set(want)
     for q in want:
         assert [d for d, _ in got[q]] == [d for d, _ in want[q]], q
-        assert all(math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got[q], want[q]))
+        # a posting weighs a multiple of 1 / UNIT: of the up to 300 postings of a score each is off by half of that
+        assert all(math.isclose(a[1], b[1], rel_tol=1e-9, abs_tol=150 / topk.UNIT) for a, b in zip(got[q], want[q]))
 
 
 def test_query(spark, sf):
@@ -95,7 +96,7 @@ def postings(weight, docs, tfs, lengths, stats=None, mean=100.0):
     docs, tfs = np.asarray(docs, "<u2"), np.asarray(tfs, "<u4")
     bounds, _ = topk._bounds(docs, tfs, lengths, np.array([0, len(docs)]))
     norm = topk.K1 * (1 - topk.B + topk.B * lengths / mean)
-    return topk.Postings(weight, docs.tobytes(), tfs.tobytes(), bounds.tobytes(), norm, mean, stats)
+    return topk.Postings(weight, docs, tfs, bounds, norm, mean, stats)
 
 
 def made_lists(rng, n, n_lists, stats, shares=(0.002, 0.05, 0.6), weights=(0.1, 1.0, 5.0)):
@@ -104,12 +105,11 @@ def made_lists(rng, n, n_lists, stats, shares=(0.002, 0.05, 0.6), weights=(0.1,
     for _ in range(n_lists):
         docs = np.flatnonzero(rng.random(n) < rng.choice(shares))
         if len(docs):
-            tfs = rng.integers(1, 4, len(docs))
-            weight = float(rng.choice(weights))
-            lists.append((weight, docs, tfs))
+            lists.append((float(rng.choice(weights)), docs, rng.integers(1, 4, len(docs))))
+    lists.sort(key=lambda x: len(x[1]))
     total = np.zeros(n)
     for w, d, t in lists:
-        total[d] += postings(w, d, t, lengths).all()[1]
+        total[d] += np.rint(w * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * lengths[d] / 100.0)) * topk.UNIT)
     return [postings(w, d, t, lengths, stats) for w, d, t in lists], total
 
 
@@ -126,17 +126,16 @@ def test_wand_is_exact_and_prunes(seed, n_lists, k):
     assert topk.wand(lists, k, floor=floor) == got
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 12), st.booleans())
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 12), st.sampled_from([0, 0.5, 1, 1.1]))
 def test_wand_by_list_is_exact(seed, n_lists, k, floored):
-    lists, total = made_lists(np.random.default_rng(seed), 3000, n_lists, None, shares=(0.0005, 0.01, 0.6))
-    lists.sort(key=lambda p: p.n)
-    total = np.zeros(3000)
-    for p in lists:
-        total[p.docs.astype(int)] += p.weight * p.tfs.astype(float) * 2.2 / (p.tfs.astype(float) + p.norm[p.docs])
+    rng = np.random.default_rng(seed)
+    lists, total = made_lists(rng, 3000, n_lists, None, shares=(0.0005, 0.01, 0.6))
+    before = np.where(rng.random(3000) < 0.3, np.rint(rng.random(3000) * topk.UNIT), 0.0)
+    total = total + before
     want = sorted(((-total[d], int(d)) for d in np.flatnonzero(total)))[:k]
-    floor = -want[-1][0] if floored and want else 0.0
-    assert [(s, d) for s, d in topk.wand_by_list(lists, np.zeros(3000), k, floor)] == [(-s, d) for s, d in want]
+    floor = np.rint(floored * -want[-1][0]) if want else 0.0
+    assert topk.wand_by_list(lists, before, k, floor) == [(-s, d) for s, d in want if -s >= floor]
 
 
 def test_wand_skips_blocks():
@@ -148,15 +147,15 @@ def test_wand_skips_blocks():
     lists = [postings(1.0, np.arange(n), tfs, lengths, stats), postings(0.5, np.arange(n)[::7], tfs[::7], lengths, stats)]
     topk.wand(lists, 10, stats)
     assert stats["documents"] < 500 and stats["scored"] < 1000
-    # a rare term decides: of the common list only the blocks of its documents are decoded
+    # a rare term decides: of the common list only the blocks of its documents are scored
     stats.clear()
     lists = [postings(9.0, np.arange(0, n, 2500), np.full(20, 3), lengths, stats), postings(0.3, np.arange(n), tfs, lengths, stats)]
-    got = topk.wand_by_list(lists, np.zeros(n), 10, floor=5.0)
+    got = topk.wand_by_list(lists, np.zeros(n), 10, floor=5.0 * topk.UNIT)
     assert len(got) == 10 and stats["scored"] <= 20 + 20 * topk.BLOCK
 
 
 def test_searches_leave_postings_unscored(spark):
-    """Over all queries of a table, search by search: fewer postings are scored than their lists hold."""
+    """Over all queries of a table, search by search: how many postings are scored of those that the lists hold."""
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
     counts = [Counter((t or "").encode().lower().split()) for _, t in docs]
     lengths = np.array([sum(c.values()) for c in counts], "<u4")
@@ -164,22 +163,19 @@ def test_searches_leave_postings_unscored(spark):
     for d, c in enumerate(counts):
         for t, f in c.items():
             inverted.setdefault(t, []).append((d, f))
-    held = stats = 0
+    held = scored = 0
     for (i, _), c in zip(docs, counts):
-        if i % 100 == 0 and c:
-            seen = Counter()
-            own = sorted(c, key=lambda t: (len(inverted[t]), t))
-            lists = [postings(topk.idf(len(docs), len(inverted[t])), *zip(*inverted[t]), lengths, seen, mean) for t in own]
+        if i % 100 == 0 and len(c) > topk.FEW:
+            own = sorted(c, key=lambda t: len(inverted[t]))
+            made = lambda seen: [postings(topk.idf(len(docs), len(inverted[t])), *zip(*inverted[t]), lengths, seen, mean) for t in own]
             # the k-th score that earlier shards have found, as in the second and third round
-            floor = topk.wand_by_list(lists, np.zeros(len(docs)), 10)[-1][0]
-            seen.clear()
-            fresh = [postings(topk.idf(len(docs), len(inverted[t])), *zip(*inverted[t]), lengths, seen, mean) for t in own]
-            again = topk.wand_by_list(fresh, np.zeros(len(docs)), 10, floor)
-            assert again == topk.wand_by_list(lists, np.zeros(len(docs)), 10)
+            want = topk.wand_by_list(made(None), np.zeros(len(docs)), 10)
+            seen = Counter()
+            assert topk.wand_by_list(made(seen), np.zeros(len(docs)), 10, want[-1][0]) == want
             held += sum(len(inverted[t]) for t in own)
-            stats += seen["scored"]
-    print("scored", stats, "of", held)
-    assert stats < 0.8 * held  # long queries over even lists: their maxima add up to much
+            scored += seen["scored"]
+    print("scored", scored, "of", held)
+    assert scored < 0.75 * held
 
 
 def test_licence_lines(spark):

@@ -8,16 +8,19 @@ than these two together. The document frequency of a term, the number of documen
 over all shards, so a score does not depend on the sharding.
 
 Searching: postings of the terms asked for are gathered by shard and slice of the queries, a slice being a bounded
-number of queries, so that neither many documents nor many queries make a task long. Lists are walked from the rarest
-term to the commonest. A query of up to ``FEW`` terms is walked document by document: documents whose lists' maxima,
-and blocks whose block maxima, can't reach the k-th score so far are skipped. A longer query takes its lists whole
-until the maxima of the remaining ones add up to less than the k-th score so far; from there on only documents seen
-before can win, and of a list only the blocks that hold one of them whose ceiling (score so far, block maximum,
-maxima of the lists after it) reaches the k-th score are decoded. A task decodes and scores a block at most once for
-all of its queries. Each shard returns its own k best; the best of these are exact. The shards take part in three
-rounds, each of about five times as many as the round before; a round starts from the k-th score that the earlier ones
-found for a query, so that shards skip, and do not return, what can't be among the k best of all. Equal scores rank by
-id.
+number of queries, so that neither many documents nor many queries make a task long. A query of up to ``FEW`` terms is
+walked document by document: documents whose lists' maxima, and blocks whose block maxima, can't reach the k-th score
+so far are skipped. A longer query goes list by list, all documents at once. Lists of one block come first, then the
+others from the rarest to the commonest, whole, until the maxima of the remaining ones add up to less than the k-th
+score: from there on only documents seen before can win. When few of those are left, they are looked up in the
+remaining lists, and only in blocks whose maximum still lifts one of them to the k-th score; no other block of these
+lists is scored. A task scores a block at most once for all of its queries. Each shard returns its own k best; the
+best of these are exact. The shards take part in three rounds, each of about five times as many as the round before; a
+round starts from the k-th score that the earlier ones found for a query, so that shards skip, and do not return, what
+can't be among the k best of all.
+
+Scores are multiples of 2**-32, the nearest to each posting's BM25 weight: sums are then exact in any order (below
+2**53 units), and documents with the same words tie exactly, in whatever shards they are. Equal scores rank by id.
 
 Terms are the words of the text, A-Z lower-cased. Null and empty texts have no terms and match nothing, but count as
 documents. Rows without id are indexed and returned without id, after all others of equal score. Repeated rows are
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +47,10 @@ K1, B = 1.2, 0.75
 #: Words and documents of a shard, postings of a block.
 SHARD, DOCS, BLOCK = 6_000_000, 1 << 16, 64
 #: Terms of a query up to which it is walked document by document; queries of a slice.
-FEW, SLICE = 16, 2048
+FEW, SLICE = 16, 1 << 14
+#: Looking a document up in a list costs as much as adding so many postings.
+LOOKUP = 16
+UNIT = 2.0**32
 NO_ID = 2**63 - 1
 _BOUND = np.dtype([("last", "<u2"), ("tf", "<u4"), ("least", "<u4")])
 _DOCS = np.dtype([("id", "<i8"), ("n", "<u4")])
@@ -150,53 +157,49 @@ def idf(n: int, df: int) -> float:
     return float(np.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
+def weigh(weight: float | np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """BM25 weights of postings in whole units."""
+    return np.rint(weight * tf * (K1 + 1) / (tf + norm) * UNIT)
+
+
 class Postings:
     """One term's list in a shard: bounds of its blocks at once, scores of a block when they are asked for."""
 
-    def __init__(self, weight: float, docs: bytes, tfs: bytes, bounds: bytes, norm: np.ndarray, mean: float, stats: Counter | None = None) -> None:
-        self.raw, self.weight, self.norm, self.stats = docs, weight, norm, stats
-        self.n = len(docs) // 2
-        self.tfs = np.frombuffer(tfs, f"<u{len(tfs) // self.n}")
-        self.docs = np.frombuffer(docs, "<u2")
+    def __init__(self, weight: float, docs: np.ndarray, tfs: np.ndarray, bounds: np.ndarray, norm: np.ndarray, mean: float, stats: Counter | None = None) -> None:
+        self.weight, self.docs, self.tfs, self.norm, self.stats = weight, docs, tfs, norm, stats
+        self.n = len(docs)
         self.scores = np.empty(self.n)
-        own = np.frombuffer(bounds, _BOUND)
-        self.ready = np.zeros(max(1, len(own)), bool)
-        if len(own):
-            tf = own["tf"].astype(np.float64)
-            self.block_last = own["last"].astype(np.int64)
-            self.block_most = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * own["least"] / mean))
+        self.ready = np.zeros(max(1, len(bounds)), bool)
+        if len(bounds):
+            self.block_last = bounds["last"]
+            self.block_most = weigh(weight, bounds["tf"].astype(np.float64), K1 * (1 - B + B * bounds["least"] / mean))
         else:  # a list of one block has no bounds but itself
             self.decode(np.zeros(1, np.int64))
-            self.block_last, self.block_most = self.docs[-1:].astype(np.int64), np.array([self.scores.max()])
+            self.block_last, self.block_most = docs[-1:], np.array([self.scores.max()])
         self.most = float(self.block_most.max())
-        self.whole: tuple[np.ndarray, np.ndarray] | None = None
+        self.whole: np.ndarray | None = None
+
+    def _score(self, at: slice) -> None:
+        tf = self.tfs[at].astype(np.float64)
+        self.scores[at] = weigh(self.weight, tf, self.norm[self.docs[at]])
+        if self.stats is not None:
+            self.stats["scored"] += len(tf)
 
     def decode(self, blocks: np.ndarray) -> None:
         """Score the postings of these blocks, unless that has been done."""
         for b in blocks[~self.ready[blocks]].tolist():
-            at = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
-            tf = self.tfs[at].astype(np.float64)
-            self.scores[at] = self.weight * tf * (K1 + 1) / (tf + self.norm[self.docs[at]])
+            self._score(slice(b * BLOCK, min((b + 1) * BLOCK, self.n)))
             self.ready[b] = True
-            if self.stats is not None:
-                self.stats["scored"] += len(tf)
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of all postings."""
         if self.whole is None:
-            if not self.ready.all():
-                at = ~np.repeat(self.ready, BLOCK)[: self.n]
-                tf = self.tfs[at].astype(np.float64)
-                self.scores[at] = self.weight * tf * (K1 + 1) / (tf + self.norm[self.docs[at]])
+            if not self.ready.any():
+                self._score(slice(None))
                 self.ready[:] = True
-                if self.stats is not None:
-                    self.stats["scored"] += len(tf)
-            self.whole = self.docs.astype(np.intp), self.scores
-        return self.whole
-
-    def block_of(self, docs: np.ndarray) -> np.ndarray:
-        """The block that would hold each document; the number of blocks if it lies beyond all."""
-        return np.searchsorted(self.block_last, docs)
+            self.decode(np.flatnonzero(~self.ready))
+            self.whole = self.docs.astype(np.intp)
+        return self.whole, self.scores
 
 
 class Cursor:
@@ -221,26 +224,21 @@ class Cursor:
         return int(np.searchsorted(self.p.block_last, doc))
 
 
-#: Sums of bounds may round below the sum of scores; bounds are raised by so much.
-_ROUND = 1 + 1e-12
-
-
 def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: float = 0.0) -> list[tuple[float, int]]:
     """The k best (score, document) that score at least ``floor``, best first; equal scores by document.
 
-    Scores add up in the order of ``lists``. Block-max WAND, document by document.
+    Scores are in units. Block-max WAND, document by document.
     """
     heap: list[tuple[float, int]] = []
     least = 0.0
     cursors = [Cursor(p) for p in lists]
-    place = {id(c): i for i, c in enumerate(cursors)}
     live = cursors
     while True:
         live = sorted((c for c in live if c.doc != NO_ID), key=lambda c: c.doc)
         bound, pivot = 0.0, None
         for i, c in enumerate(live):
             bound += c.most
-            if bound * _ROUND >= floor and (bound * _ROUND > least or len(heap) < k):
+            if bound >= floor and (bound > least or len(heap) < k):
                 pivot = i
                 break
         if pivot is None:
@@ -251,7 +249,7 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
         head = live[: pivot + 1]
         blocks = [c.block(doc) for c in head]
         ceiling = sum(float(c.p.block_most[b]) for c, b in zip(head, blocks) if b < len(c.p.block_most))
-        if ceiling * _ROUND < floor or len(heap) == k and ceiling * _ROUND <= least:
+        if ceiling < floor or len(heap) == k and ceiling <= least:
             # no document up to the end of the nearest block can do it
             ends = [int(c.p.block_last[b]) + 1 for c, b in zip(head, blocks) if b < len(c.p.block_last)]
             nxt = min([*ends, *([live[pivot + 1].doc] if pivot + 1 < len(live) else [])], default=NO_ID)
@@ -260,7 +258,7 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
             continue
         if head[0].doc == doc:
             score = 0.0
-            for c in sorted(head, key=lambda c: place[id(c)]):
+            for c in head:
                 score += c.score()
                 c.go(doc + 1)
             if stats is not None:
@@ -281,53 +279,122 @@ def wand(lists: list[Postings], k: int, stats: Counter | None = None, floor: flo
 
 
 def wand_by_list(lists: list[Postings], total: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
-    """As ``wand``, list by list for all documents at once; ``total`` is an array by document to work in.
-
-    Lists are taken whole until what remains can't lift a document that none of them has to the k-th score; then only
-    the documents that can still reach it are looked up, in the blocks whose maxima let them.
-    """
-    total.fill(0)
-    rest = np.append(np.cumsum([p.most for p in reversed(lists)])[::-1][1:], 0.0) * _ROUND if lists else np.zeros(0)
-    least, i = floor, 0
-    step = max(8, len(lists) // 8)  # how often the k-th score is looked up
-    for i, p in enumerate(lists):
-        docs, scores = p.all()
-        total[docs] += scores
-        if rest[i] < least:
+    """As ``wand``, list by list for all documents at once, on top of ``total``, what other lists have given each document."""
+    n, size = len(total), len(lists)
+    rest = np.append(np.cumsum([p.most for p in reversed(lists)])[::-1], 0.0)  # rest[i]: maxima of the lists from i on
+
+    def add(lo: int, hi: int) -> None:
+        if hi > lo:
+            docs, scores = zip(*[p.all() for p in lists[lo:hi]])
+            np.add(total, np.bincount(np.concatenate(docs), np.concatenate(scores), n), out=total)
+
+    def kth(scores: np.ndarray) -> float:
+        return float(np.partition(scores, -k)[-k]) if k < len(scores) else 0.0
+
+    least, at = floor, 0
+    if not floor:  # no shard has given a score to begin with: most of the lists do
+        at = size * 3 // 4
+        add(0, at)
+        least = kth(total)
+    # up to here a document that no list has had could still win
+    stop = max(at, size - int(np.searchsorted(rest[::-1], least)) + 1) if least else size
+    stop = min(stop, size)
+    add(at, stop)
+    at, step = stop, max(4, (size - stop) // 8)
+    while at < size:
+        seen = np.flatnonzero(total + rest[at] >= least)
+        if len(seen) * LOOKUP <= lists[at].n:
             break
-        if i % step == step - 1 and k < len(total):
-            least = max(least, float(np.partition(total, -k)[-k]))
-            if rest[i] < least:
-                break
-    after = i + 1
-    if after < len(lists):
-        seen = np.flatnonzero((total > 0) & (total * _ROUND + rest[after - 1] >= least))
-        for i in range(after, len(lists)):
+        add(at, min(at + step, size))
+        at = min(at + step, size)
+    if at < size:
+        own = total[seen]
+        for i in range(at, size):
             p = lists[i]
+            block = np.minimum(np.searchsorted(p.block_last, seen), len(p.block_last) - 1)
+            fine = own + p.block_most[block] + rest[i + 1] >= least
+            seen, own = seen[fine], own[fine]
             if not len(seen):
                 break
-            if len(seen) >= p.n:  # looking them up costs more than the list has
-                docs, scores = p.all()
-                total[docs] += scores
-            else:
-                most = np.append(p.block_most, 0.0)[p.block_of(seen)]
-                seen = seen[(total[seen] + most + rest[i]) * _ROUND >= least]
-                at = np.searchsorted(p.docs, seen)
-                hit = np.flatnonzero(p.docs[np.minimum(at, p.n - 1)] == seen)
-                p.decode(np.unique(at[hit] // BLOCK))
-                total[seen[hit]] += p.scores[at[hit]]
-            if (i - after) % step == step - 1:
-                if k < len(seen):
-                    least = max(least, float(np.partition(total[seen], -k)[-k]))
-                seen = seen[total[seen] * _ROUND + rest[i] >= least]
-        keep = np.zeros(len(total), bool)
-        keep[seen] = True
-        total[~keep] = 0
-    if k < len(total):
-        least = max(least, float(np.partition(total, -k)[-k]))
-    found = np.flatnonzero((total >= max(least, floor)) & (total > 0))
-    best = found[np.lexsort((found, -total[found]))[:k]]
-    return list(zip(total[best].tolist(), best.tolist()))
+            place = np.minimum(np.searchsorted(p.docs, seen), p.n - 1)
+            hit = np.flatnonzero(p.docs[place] == seen)
+            p.decode(np.unique(place[hit] // BLOCK))
+            own[hit] += p.scores[place[hit]]
+    else:
+        seen = np.flatnonzero(total)
+        own = total[seen]
+    least = max(floor, kth(own))
+    fine = (own >= least) & (own > 0)
+    seen, own = seen[fine], own[fine]
+    best = np.lexsort((seen, -own))[:k]
+    return list(zip(own[best].tolist(), seen[best].tolist()))
+
+
+class Shard:
+    """The lists of a shard that some query asks for, by term number."""
+
+    def __init__(self, docs: np.ndarray, terms: np.ndarray, df: np.ndarray, columns: list[pa.Array], n: int, mean: float, stats: Counter | None = None) -> None:
+        """``columns``: docs, tfs and bounds of each term as binary arrays; ``terms`` rise."""
+        self.ids, self.mean, self.stats = docs["id"], mean, stats
+        self.norm = K1 * (1 - B + B * docs["n"] / mean)
+        self.terms, self.weight = terms, np.log(1 + (n - df + 0.5) / (df + 0.5))
+        (self.docs, ends), (self.tfs, tf_ends), (self.bounds, bound_ends) = map(_flat, columns)
+        self.docs, self.bounds = self.docs.view("<u2"), self.bounds.view(_BOUND)
+        self.ends, self.tf_ends, self.bound_ends = ends // 2, tf_ends, bound_ends // _BOUND.itemsize
+        self.n = np.diff(self.ends)
+        self.big = np.diff(self.bound_ends) > 0
+        # lists of one block are scored at once: the block is the list
+        small = np.flatnonzero(~self.big)
+        at = _ranges(self.ends[small], self.n[small])
+        owner = np.repeat(small, self.n[small])
+        width = np.where(self.n > 0, np.diff(tf_ends) // np.maximum(self.n, 1), 1)[owner]
+        first = self.tf_ends[owner] + (at - self.ends[owner]) * width
+        tf = np.zeros(len(at))
+        for i in range(int(width.max(initial=0))):
+            inside = width > i
+            tf[inside] += self.tfs[first[inside] + i] * float(256**i)
+        self.small_docs = self.docs[at].astype(np.intp)
+        self.small_scores = weigh(self.weight[owner], tf, self.norm[self.small_docs])
+        self.small_ends = np.zeros(len(terms) + 1, np.int64)
+        np.cumsum(np.where(self.big, 0, self.n), out=self.small_ends[1:])
+        if stats is not None:
+            stats["scored"] += len(at)
+        self.lists: dict[int, Postings] = {}
+
+    def postings(self, i: int) -> Postings:
+        got = self.lists.get(i)
+        if got is None:
+            tfs = self.tfs[self.tf_ends[i] : self.tf_ends[i + 1]]
+            tfs = tfs.view(f"<u{len(tfs) // self.n[i]}")
+            got = Postings(float(self.weight[i]), self.docs[self.ends[i] : self.ends[i + 1]], tfs, self.bounds[self.bound_ends[i] : self.bound_ends[i + 1]], self.norm, self.mean, self.stats)
+            if self.big[i]:
+                self.lists[i] = got
+        return got
+
+    def best(self, terms: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+        """The k best (score, place) of this shard's documents for a query's rising terms."""
+        at = np.searchsorted(self.terms, terms)
+        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == terms] if len(self.terms) else at[:0]
+        if len(at) <= FEW:
+            return wand([self.postings(i) for i in at.tolist()], k, floor=floor)
+        small, big = at[~self.big[at]], at[self.big[at]]
+        own = _ranges(self.small_ends[small], self.n[small])
+        total = np.bincount(self.small_docs[own], self.small_scores[own], len(self.ids)).astype(np.float64)  # of nothing it is whole numbers
+        return wand_by_list([self.postings(i) for i in big[np.argsort(self.n[big], kind="stable")].tolist()], total, k, floor)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, null as empty, and where each value ends (0 first)."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -339,8 +406,8 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     slices = queries.select("query").distinct().count() // SLICE + 1
     cut = F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice")
     # sort-merge joins at every size: the terms asked for grow with the input and have no bound to broadcast by.
-    # Terms go by numbers in the order of their document frequencies, the order in which scores add up
-    terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).orderBy("df", "term").select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
+    # Terms go by numbers
+    terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
     numbered = scratch.keep(queries.select("query", "term", cut).join(terms.hint("merge"), "term").select("query", "slice", "term", "t", "df"), "numbered")
     turn = F.when(F.pmod(F.xxhash64("shard"), F.lit(25)) == 0, 0).when(F.pmod(F.xxhash64("shard"), F.lit(25)) < 5, 1).otherwise(2).alias("turn")
     parts = ["docs", "tfs", "bounds", turn]
@@ -354,21 +421,17 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shards = indexed.where("term is null").select(F.col("shard").alias("at"), turn)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found, docs = {}, np.zeros(0, _DOCS)
-        columns = [left.column(c).to_pylist() for c in ("t", "df", "docs", "tfs", "bounds")]
-        for term, _, data, _, _ in zip(*columns):
-            if term is None:
-                docs = np.frombuffer(data, _DOCS)
-        norm = K1 * (1 - B + B * docs["n"] / mean)
-        for term, df, *blobs in zip(*columns):
-            if term is not None:
-                found[term] = Postings(idf(n, df), *blobs, norm, mean)
-        total, out = np.zeros(len(docs)), []
+        head = left.filter(pc.is_null(left.column("t")))
+        docs = np.frombuffer(head.column("docs")[0].as_py(), _DOCS) if len(head) else np.zeros(0, _DOCS)
+        lists = left.filter(pc.is_valid(left.column("t"))).sort_by("t").combine_chunks()
+        columns = [lists.column(c).combine_chunks() for c in ("docs", "tfs", "bounds")]
+        shard = Shard(docs, np.asarray(lists.column("t")), np.asarray(lists.column("df")), columns, n, mean)
         queries, floors = right.column("query").to_pylist(), right.column("floor").to_pylist()
+        asked = right.column("terms").combine_chunks()
+        flat, ends, out = np.asarray(asked.flatten()), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(False))]), []
         for i, (query, floor) in enumerate(zip(queries, floors)):
-            own = [found[t] for t in right.column("terms")[i].as_py() if t in found]
-            best = wand(own, k, floor=floor) if len(own) <= FEW else wand_by_list(own, total, k, floor)
-            out += [(query, int(docs["id"][doc]), score) for score, doc in best]
+            best = shard.best(flat[ends[i] : ends[i + 1]], k, floor * UNIT)
+            out += [(query, int(docs["id"][doc]), score / UNIT) for score, doc in best]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
 
