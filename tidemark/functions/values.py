@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 #: What each scalar accepts as text (fixed forms).
 FORMS = {
-    "int": r"^-?\d+$",
-    "uint": r"^\d+$",
-    "decimal": r"^-?\d+(\.\d+)?$",
-    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "timestamp": r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$",
-    "bytes": r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$",
-    "bool": r"^(true|false)$",
-    "string": r"(?s)^.*$",
+    "int": r"\A-?\d+\z",
+    "uint": r"\A\d+\z",
+    "decimal": r"\A-?\d+(\.\d+)?\z",
+    "uuid": r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z",
+    "timestamp": r"\A\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z",
+    "bytes": r"\A([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z",
+    "bool": r"\A(true|false)\z",
+    "string": r"(?s)\A.*\z",
 }
 
 
@@ -63,7 +63,7 @@ def match(template: str, stream: Column, kind: str = "string") -> Column:
     key = F.substring(stream, F.lit(len(prefix) + 1), n)
     good = stream.startswith(prefix) & stream.endswith(suffix) & (n > 0) & accepts(kind, key)
     if kind in ("int", "uint"):
-        good = good & ~key.rlike(r"^-?0\d|^-0$")
+        good = good & ~key.rlike(r"^-?0\d|^-0\z")
     return F.when(good, key)
 
 
@@ -91,7 +91,7 @@ def key_bytes(kind: str, key: Column) -> Column:
 
 def event_ref(text: Column) -> Column:
     """struct(context, name, version) of ``Context.Name[@vN]``; null if malformed."""
-    form = r"^([A-Za-z]\w*)\.([A-Za-z]\w*)(?:@v([1-9]\d*))?$"
+    form = r"\A([A-Za-z]\w*)\.([A-Za-z]\w*)(?:@v([1-9]\d*))?\z"
     part = lambda i: F.regexp_extract(text, form, i)
     return F.when(text.rlike(form), F.struct(part(1).alias("context"), part(2).alias("name"), F.nullif(part(3), F.lit("")).cast("int").alias("version")))
 

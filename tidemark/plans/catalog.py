@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, upcasts, values
-from tidemark.operators import fold, log, mutations
+from tidemark.operators import compiled, fold, log, mutations
 from tidemark.operators.running import running
 from tidemark.plans import orders
 from tidemark.schema.parser import parse
@@ -211,8 +211,46 @@ _ROW_OPS = "CASE WHEN name = 'signup' THEN 'upsert' WHEN name = 'error' AND k <
     s AS (SELECT *, max(CASE WHEN op <> 'add' THEN position END) OVER (PARTITION BY user_id) AS reset FROM o)
     SELECT user_id, CAST(sum(v) AS BIGINT) AS n FROM s WHERE (reset IS NULL OR position >= reset) AND op <> 'delete' GROUP BY user_id""")
 def fold_upsert_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Row and number of each user in one pass: the last reset, then one sum of what follows it."""
     ops = _ops(spark, sf).select("user_id", "ord", F.expr(_ROW_OPS).alias("op"), F.expr("CASE WHEN name = 'signup' THEN k ELSE 1 END").alias("value"))
-    return fold.alive(ops, ["user_id"]).join(fold.number(ops, ["user_id"]), "user_id").select("user_id", F.col("value").alias("n"))
+    rest = fold.after_reset(ops, ["user_id"], fold.RESETS).where("op != 'delete'")
+    return rest.groupBy("user_id").agg(F.sum("value").alias("n"))
+
+
+#: A table whose columns the activity log's events change in every way that commutes.
+BOARD = """
+layer derivation
+projection Activity.Board {
+  from Activity.signup, Activity.error, Activity.click, Activity.view, Activity.purchase
+  fold wasm "board.wasm"
+  table board { key user_id: int, n: int, mark: string?, tags: set<int>, spent: map<string, decimal> }
+}
+"""
+_BOARD_OPS = """CASE WHEN name = 'signup' THEN 'upsert' WHEN name = 'error' AND k < 10 THEN 'delete' WHEN name = 'error' THEN 'set_remove' WHEN name = 'click' THEN 'set_add'
+    WHEN name = 'view' AND k % 5 = 0 THEN 'set' WHEN name = 'view' THEN 'add' WHEN k % 3 = 0 THEN 'map_remove' WHEN k % 3 = 1 THEN 'map_put' ELSE 'map_add' END"""
+
+
+@query(f"""WITH {A}, o AS (SELECT user_id, position, k, value, {_BOARD_OPS} AS op FROM a),
+    l AS (SELECT *, max(CASE WHEN op IN ('upsert', 'delete') THEN position END) OVER u AS cut, last_value(op) OVER (PARTITION BY user_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_op,
+        max(CASE WHEN op = 'set' THEN position END) OVER u AS setting FROM o WINDOW u AS (PARTITION BY user_id)),
+    r AS (SELECT * FROM l WHERE last_op <> 'delete' AND (cut IS NULL OR position >= cut)),
+    n AS (SELECT user_id, CAST(coalesce(sum(k) FILTER (op IN ('upsert', 'add', 'set') AND (setting IS NULL OR position >= setting)), 0) AS BIGINT) AS n, arg_max('m' || k, position) FILTER (op = 'upsert') AS mark FROM r GROUP BY user_id),
+    e AS (SELECT user_id, CASE WHEN op = 'upsert' THEN k % 3 ELSE k % 7 END AS e, arg_max(op <> 'set_remove', position) AS there FROM r WHERE op IN ('upsert', 'set_add', 'set_remove') GROUP BY ALL),
+    t AS (SELECT user_id, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS tags FROM e WHERE there GROUP BY user_id),
+    m AS (SELECT user_id, 'c' || k % 4 AS c, op, value, position, max(CASE WHEN op <> 'map_add' THEN position END) OVER (PARTITION BY user_id, k % 4) AS since FROM r WHERE op LIKE 'map%'),
+    x AS (SELECT user_id, c, sum(value) AS v FROM m WHERE (since IS NULL OR position >= since) AND op <> 'map_remove' GROUP BY ALL),
+    s AS (SELECT user_id, string_agg(c || '=' || CAST(v AS DECIMAL(28,2)), ',' ORDER BY c) AS spent FROM x GROUP BY user_id)
+    SELECT n.user_id, n, mark, coalesce(tags, '') AS tags, coalesce(spent, '') AS spent FROM n LEFT JOIN t USING (user_id) LEFT JOIN s USING (user_id)""")
+def fold_schema_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table compiled from its declaration: upserts, deletes, sets, adds, set and map operations mixed on each row."""
+    op, k = F.expr(_BOARD_OPS), F.col("k")
+    column = F.when(op.isin("set", "add"), "n").when(op.isin("set_add", "set_remove"), "tags").when(op.startswith("map"), "spent")
+    value = F.when(op.isin("set", "add"), k.cast("string")).when(op.startswith("set_"), (k % 7).cast("string")).when(op.startswith("map"), F.col("value").cast("string"))
+    row = F.when(op == "upsert", F.to_json(F.struct(k.alias("n"), F.concat(F.lit("m"), k.cast("string")).alias("mark"), F.array(k % 3).alias("tags"))))
+    ops = activity_log(spark, sf).select("user_id", F.col("position").alias("ord"), F.when(op == "map_add", "add").otherwise(op).alias("op"), column.alias("column"), value.alias("value"), F.concat(F.lit("c"), (k % 4).cast("string")).alias("map_key"), row.alias("row"))
+    made = compiled.fold_table(ops, parse(BOARD).projections["Activity.Board"].tables["board"])
+    spent = F.array_join(F.transform(F.map_entries("spent"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return made.select("user_id", "n", "mark", F.array_join(F.col("tags").cast("array<string>"), ",").alias("tags"), spent.alias("spent"))
 
 
 @query(f"""WITH {A}, r AS (SELECT user_id, position, sum(CASE WHEN name = 'error' THEN -k ELSE 10 END) OVER (PARTITION BY user_id ORDER BY position) AS run FROM a)
@@ -299,13 +337,20 @@ def occ_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return log.expected_version(wanted, log.stream_heads(activity_log(spark, sf)))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey, count(*) FILTER (o_orderstatus <> 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM orders)
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_orderstatus <> 'F' AS is_open, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    r AS (SELECT o_orderkey, o_custkey, n, CAST(0 AS BIGINT) AS open, CAST(is_open AS INT) AS opens FROM o WHERE n = 1
+      UNION ALL SELECT o.o_orderkey, o.o_custkey, o.n, r.open + r.opens, CAST(o.is_open AND r.open + r.opens < 5 AS INT) FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
     SELECT o_orderkey AS order_id, open AS open_before, CASE WHEN open >= 5 THEN 'MAX_OPEN_ORDERS' ELSE 'accepted' END AS outcome FROM r""")
 def invariant_max_open(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer has at most five open orders; a rejected order appends nothing, so it is not open.
+
+    Orders are accepted until five are open and none closes here, so the open ones are the first five that would be.
+    """
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate", "o_orderstatus")
     is_open = F.when(F.col("o_orderstatus") != "F", F.lit(1).cast("long"))
-    rows = running(o, ["o_custkey"], ["o_orderdate", "order_id"], F.trunc("o_orderdate", "month"), sums={"open_before": is_open}, before=True)
-    return rows.select("order_id", "open_before", F.when(F.col("open_before") >= 5, "MAX_OPEN_ORDERS").otherwise("accepted").alias("outcome"))
+    rows = running(o, ["o_custkey"], ["o_orderdate", "order_id"], F.trunc("o_orderdate", "month"), sums={"before": is_open}, before=True)
+    rows = rows.select("order_id", F.least("before", F.lit(5)).cast("long").alias("open_before"))
+    return rows.select("*", F.when(F.col("open_before") >= 5, "MAX_OPEN_ORDERS").otherwise("accepted").alias("outcome"))
 
 
 @query("SELECT coalesce(min(event_id) FILTER (ts > TIMESTAMP '2024-01-03'), max(event_id) + 1) AS cut FROM events")
