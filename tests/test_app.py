@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.errors import Failure, InvalidArgument, NotFound
+from tidemark.functions.errors import FailedPrecondition, Failure, InvalidArgument, NotFound, Unavailable
 from tidemark.sources.store import Event, LogStore, parse_token
 from tidemark.streaming.app import Aggregate, App, ContextInvariant, Process, ProcessRunner, Reaction, Rejected
 from tidemark.streaming.runner import Projection, Runner
@@ -108,8 +108,8 @@ def reaction():
         p = t["payload"]
         if t["kind"] == "timer":
             return Reaction({**state, "step": "overdue"}, [("Cancel", state["order"], {"order": state["order"]})])
-        if "rejected" in p:
-            return Reaction({**state, "step": p["rejected"]}, cancel=["late"])
+        if t["kind"] == "rejected":
+            return Reaction({**state, "step": p["code"]}, cancel=["late"])
         if t["family"] == "Orders.OrderPlaced":
             return Reaction({"order": p["order"], "step": "requested"}, [("Prepare", p["order"], {"order": p["order"]})], [("late", 1000)])
         if t["family"] == "Shipping.Prepared":
@@ -137,3 +137,74 @@ def test_process_with_timers(app, tmp_path):
     run.run()
     assert steps() == {"bad": "NO_STOCK"}  # the overdue order was cancelled, which ends its instance
     assert app.load(app.aggregates["Order"], "order-x")[1]["status"] == "Cancelled"
+    # what was rejected is no event: every event of the log is one that a command made, or a fired timer
+    assert {r.family for r in app.store.events().select("family").distinct().collect()} == {"Orders.OrderPlaced", "Orders.OrderCancelled", "Shipping.Prepared", "System.TimerFired"}
+
+
+def test_commands_outlive_a_failure(app, tmp_path):
+    process = Process("fulfilment", {"Orders.OrderPlaced": "order", "Shipping.Prepared": "order"}, reaction(), ("late",))
+    waits = []
+    run = ProcessRunner(app, process, f"file://{tmp_path}/processes", sleep=waits.append)
+    for i, who in (("a", "ada"), ("b", "bob"), ("c", "cleo")):
+        app.execute("Place", i, order(i, who))
+    name, handler = app.commands["Prepare"]
+    app.commands["Prepare"] = (name, lambda state, p: 1 / 0 if p["order"] == "b" else handler(state, p))
+    with pytest.raises(Failure):
+        run.run()
+    assert run.checkpoint()["pending"] and app.store.events().where("family = 'Shipping.Prepared'").count() == 1
+    app.execute("Place", "d", order("d", "dan"))  # the head moves on meanwhile
+    with pytest.raises(Failure):
+        run.run()
+    app.commands["Prepare"] = (name, handler)
+    assert run.run() == 3  # the two that were left, and the new one
+    assert sorted(json.loads(r.payload)["order"] for r in app.store.events().where("family = 'Shipping.Prepared'").collect()) == ["a", "b", "c", "d"]
+    assert run.checkpoint()["pending"] == [] and run.dispatch() == 0
+
+    def busy(state, p):
+        if len(waits) < 2:
+            raise Unavailable("later")
+        return handler(state, p)
+
+    app.commands["Prepare"] = (name, busy)
+    app.execute("Place", "e", order("e", "eve"))
+    assert run.run() == 1 and waits == [0.5, 1.0]
+
+
+def test_a_process_starts_anew_after_a_cut(app, tmp_path):
+    process = Process("fulfilment", {"Orders.OrderPlaced": "order", "Shipping.Prepared": "order"}, reaction(), ("late",))
+    run = ProcessRunner(app, process, f"file://{tmp_path}/processes")
+    app.execute("Place", "a", order("a"))
+    run.run()
+    run.run()
+    assert app.store.head == 2
+    app.store.truncate(1)  # takes away what was prepared
+    assert run.run() == 1 and app.store.head == 2
+    assert [json.loads(r.state)["step"] for r in run.instances().collect()] == ["requested"]
+
+
+def test_an_invariant_holds_when_its_events_are_written(app):
+    app.execute("Place", "a", order("a"))
+    (inv,) = app.context
+    holds, calls = inv.holds, []
+
+    def slow(row, new):
+        if not calls:  # another writer comes in after the check, on another stream
+            calls.append(app.store.append("order-z", "no_stream", [Event("Orders.OrderPlaced", order("z"))]))
+            return True
+        return holds(row, new)
+
+    app.context[:] = [ContextInvariant(inv.name, inv.code, inv.runner, inv.families, inv.scope, slow)]
+    with pytest.raises(Rejected) as e:
+        app.execute("Place", "b", order("b"))
+    assert e.value.code == "MAX_ORDERS" and app.store.head == 2
+
+
+def test_half_written_files_are_not_seen(app):
+    app.execute("Place", "a", order("a"))
+    store = app.store
+    out = store.fs.create(store._jpath(f"{store.path}/manifests/.0123.part"), False)  # a writer died here
+    out.close()
+    assert store.head == 1 and app.execute("Place", "b", order("b", "bob"))
+    with pytest.raises(FailedPrecondition):  # of two writers of one number the second fails, and the first's file stays
+        store._commit({**store.manifest(), "head": 99})
+    assert store.head == 2

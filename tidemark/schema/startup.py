@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from tidemark.functions.errors import FailedPrecondition
 from tidemark.schema.diff import BREAKING, Change, diff_derivation, diff_domain
 from tidemark.schema.parser import parse
+from tidemark.sources.atomic import publish
 from tidemark.sources.store import LogStore
 
 
@@ -27,11 +28,11 @@ class Texts:
     """Schema texts kept beside a log or its read models, one file per change."""
 
     def __init__(self, store: LogStore, path: str) -> None:
-        self.path, self.fs, self._jpath = path.rstrip("/"), store.fs, store._jpath
+        self.spark, self.path, self.fs, self._jpath = store.spark, path.rstrip("/"), store.fs, store._jpath
 
     def _files(self) -> list:
         folder = self._jpath(self.path)
-        return sorted((f.getPath() for f in self.fs.listStatus(folder)), key=lambda p: p.getName()) if self.fs.exists(folder) else []
+        return sorted((f.getPath() for f in self.fs.listStatus(folder) if not f.getPath().getName().startswith(".")), key=lambda p: p.getName()) if self.fs.exists(folder) else []
 
     def last(self) -> str | None:
         files = [p for p in self._files() if p.getName().endswith(".schema")]
@@ -47,9 +48,7 @@ class Texts:
         """Store a text; returns its SHA-256."""
         digest = hashlib.sha256(text.encode()).hexdigest()
         if text != self.last():
-            out = self.fs.create(self._jpath(f"{self.path}/{len(self._files()):06d}.schema"), False)
-            out.write(bytearray(text.encode()))
-            out.close()
+            publish(self.spark, f"{self.path}/{len(self._files()):06d}.schema", text.encode())
         return digest
 
 

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.errors import AlreadyExists, FailedPrecondition, InvalidArgument, PermissionDenied
+from tidemark.functions.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, PermissionDenied
+from tidemark.sources.atomic import newest, publish, read
 
 SCHEMA = "position bigint, batch_id bigint, last_in_batch boolean, event_id string, stream_id string, stream_version bigint, family string, type_version int, recorded_at_nanos bigint, payload string, metadata string"
 KEYS = "key string, position bigint"
@@ -59,23 +60,16 @@ class LogStore:
         return store
 
     def _commit(self, manifest: dict) -> None:
-        name = self._jpath(f"{self.path}/manifests/{manifest['n']:012d}.json")
         try:
-            out = self.fs.create(name, False)
-        except Exception as e:
-            if "already exists" in str(e).lower():
-                raise FailedPrecondition("another writer committed first", code="CONFLICT") from e
-            raise
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
+            publish(self.spark, f"{self.path}/manifests/{manifest['n']:012d}.json", json.dumps(manifest).encode())
+        except FileExistsError as e:
+            raise FailedPrecondition("another writer committed first", code="CONFLICT") from e
 
     def manifest(self) -> dict:
-        names = [f.getPath() for f in self.fs.listStatus(self._jpath(f"{self.path}/manifests")) if f.getPath().getName().endswith(".json")]
-        stream = self.fs.open(max(names, key=lambda p: p.getName()))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = newest(self.spark, f"{self.path}/manifests")
+        if found is None:
+            raise NotFound("no log there")
+        return found
 
     @property
     def head(self) -> int:
@@ -120,10 +114,11 @@ class LogStore:
 
     # ---- writes
 
-    def append(self, stream: str, expected: str | int, events: list[Event], key: str | None = None, epoch: int | None = None, system: bool = False, now: int | None = None) -> int:
+    def append(self, stream: str, expected: str | int, events: list[Event], key: str | None = None, epoch: int | None = None, system: bool = False, now: int | None = None, at: dict | None = None) -> int:
         """Append a batch to a stream and return its last position.
 
-        expected: any, no_stream, stream_exists or the exact last version. A key already written raises.
+        expected: any, no_stream, stream_exists or the exact last version. A key already written raises. ``at``: a
+        manifest that must still be the newest, whatever stream a later commit wrote.
         """
         if not events:
             raise InvalidArgument("empty batch")
@@ -134,17 +129,17 @@ class LogStore:
         payloads = [json.dumps(e.payload, ensure_ascii=False, separators=(",", ":")) for e in events]
         if any(len(p.encode()) > RECORD_BYTES for p in payloads):
             raise InvalidArgument("oversized record")
-        m = self.manifest()
+        m = self.manifest() if at is None else at
         self._writable(m, epoch)
-        if key is not None and (at := self.lookup_key(key)) is not None:
-            raise AlreadyExists(at)
+        if key is not None and (before := self.lookup_key(key)) is not None:
+            raise AlreadyExists(before)
         actual = self.stream_version(stream)
         ok = {"any": True, "no_stream": actual is None, "stream_exists": actual is not None}.get(expected, actual == expected)
         if not ok:
             raise FailedPrecondition("wrong expected version", actual=actual)
         first, version = m["head"], -1 if actual is None else actual
-        at = time.time_ns() if now is None else now
-        rows = [(first + i, m["n"] + 1, i == len(events) - 1, str(uuid.uuid4()), stream, version + 1 + i, e.family, e.version, at, p, json.dumps(e.metadata or {})) for i, (e, p) in enumerate(zip(events, payloads))]
+        nanos = time.time_ns() if now is None else now
+        rows = [(first + i, m["n"] + 1, i == len(events) - 1, str(uuid.uuid4()), stream, version + 1 + i, e.family, e.version, nanos, p, json.dumps(e.metadata or {})) for i, (e, p) in enumerate(zip(events, payloads))]
         self._add(m, self.spark.createDataFrame(rows, SCHEMA).coalesce(1), len(rows), [(key, first)] if key is not None else [])
         return first + len(rows) - 1
 
@@ -260,17 +255,11 @@ class LogStore:
         keys = self.spark.read.schema(KEYS).parquet(*[f"{self.path}/keys/{k}" for k in m["keys"]]) if m["keys"] else self.spark.createDataFrame([], KEYS)
         keys.where((F.col("position") >= base_head) & (F.col("position") < m["head"])).write.parquet(f"{dest}/keys")
         about = {"log_id": m["log_id"], "base_head": base_head, "head": m["head"]}
-        out = self.fs.create(self._jpath(f"{dest}/backup.json"), False)
-        out.write(bytearray(json.dumps(about).encode()))
-        out.close()
+        publish(self.spark, f"{dest}/backup.json", json.dumps(about).encode())
         return about
 
     def _about(self, source: str) -> dict:
-        stream = self.fs.open(self._jpath(f"{source}/backup.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return json.loads(read(self.spark, f"{source}/backup.json"))
 
     def apply(self, source: str) -> None:
         """Apply a backup whose base is this log's head, of the same log."""

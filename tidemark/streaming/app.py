@@ -5,13 +5,15 @@ are checked, and the events are appended at the version that was loaded. If anot
 tried once more. An idempotency key makes a repeated command succeed without a second append.
 
 A process manager is a state machine per correlation key. Its reactions run in Spark, one key's triggers in order,
-many keys in parallel; states, outbox and timers of a round become visible together with the checkpoint. Commands
-carry keys made of the trigger's position, so a round that is repeated after a failure sends nothing twice.
+many keys in parallel; states, outbox and timers of a round become visible together with the checkpoint. An outbox
+stays pending until all of it is sent, whatever happens in between. Commands carry keys made of the trigger's position,
+so nothing is sent twice. A rejected command is a trigger of its instance in the next round, not an event of the log.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
@@ -20,14 +22,18 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.functions.errors import AlreadyExists, FailedPrecondition, Failure, InvalidArgument, NotFound
+from tidemark.functions.errors import AlreadyExists, FailedPrecondition, Failure, InvalidArgument, NotFound, Unavailable
 from tidemark.functions.workers import reach
+from tidemark.sources.atomic import newest, publish
 from tidemark.sources.store import Event, LogStore, token
+from tidemark.streaming.cluster import backoff
 from tidemark.streaming.runner import Runner
 
 TIMER_FIRED = "System.TimerFired"
 #: Aggregate states that an application keeps.
 CACHED = 10_000
+#: Tries of a command that other writers come before: one more at its version, more if only the log has moved.
+ATTEMPTS = 8
 
 
 class Rejected(FailedPrecondition):
@@ -115,9 +121,10 @@ class App:
 
     def _guarded(self, a: Aggregate, key: str, decide: Callable, idempotency: str | None) -> str:
         stream = a.stream(key)
-        for attempt in (1, 2):
+        for attempt in range(1, ATTEMPTS + 1):
             if idempotency is not None and (at := self.store.lookup_key(idempotency)) is not None:
                 return self._token(at)
+            seen = self.store.manifest()
             version, state = self.load(a, stream)
             try:
                 events = decide(state)
@@ -134,27 +141,33 @@ class App:
             for name, code, holds in a.invariants:
                 if not holds(state):
                     raise Rejected(code, invariant=name)
-            self._context_invariants(events)
+            # what was checked over several streams must hold when the events are written: no commit may come between
+            pinned = seen if self._context_invariants(events) else None
             try:
-                return self._token(self.store.append(stream, "no_stream" if version is None else version, events, idempotency))
+                return self._token(self.store.append(stream, "no_stream" if version is None else version, events, idempotency, at=pinned))
             except AlreadyExists as e:
                 return self._token(e.position)
             except FailedPrecondition as e:
-                if attempt == 2 or e.code is None and e.actual is None and version is None:
+                lost = e.code == "CONFLICT"
+                if attempt >= (ATTEMPTS if lost else 2) or not lost and e.actual is None and version is None:
                     raise
         raise AssertionError
 
-    def _context_invariants(self, events: list[Event]) -> None:
+    def _context_invariants(self, events: list[Event]) -> bool:
+        """Whether any invariant looked at the events; raises if one does not hold."""
+        looked = False
         for c in self.context:
             scopes: dict[str, list[Event]] = {}
             for e in events:
                 if e.family in c.families:
                     scopes.setdefault(json.dumps(c.scope(e.payload), sort_keys=True), []).append(e)
             for scope, own in sorted(scopes.items()):
+                looked = True
                 c.runner.catch_up()  # the read model is as new as the log
                 row, _ = c.runner.get(**json.loads(scope))
                 if not c.holds(row, own):
                     raise Rejected(c.code, invariant=c.name)
+        return looked
 
 
 @dataclass
@@ -162,14 +175,16 @@ class Reaction:
     state: dict | None
     commands: list[tuple[str, str, dict]] = field(default_factory=list)  # command, key, payload
     timers: list[tuple[str, int]] = field(default_factory=list)  # name, milliseconds after the trigger
-    cancel: list[str] = field(default_factory=list)
+    at: list[tuple[str, int]] = field(default_factory=list)  # timers by absolute time: name, milliseconds since 1970
+    cancel: list[str] = field(default_factory=list)  # dropped before the new ones are set
 
 
 @dataclass
 class Process:
     """``sources``: family -> the payload field that correlates; ``react(state, trigger)`` gives a Reaction.
 
-    A trigger is {kind: event, rejected or timer, ...}. A state of None ends the instance and drops its timers.
+    A trigger is {kind: event, rejected or timer, family, position, payload}. The payload of a rejected one holds the
+    command, its key, the code and the invariant. A state of None ends the instance and drops its timers.
     """
 
     name: str
@@ -179,34 +194,51 @@ class Process:
 
 
 _STATE = "pkey string, state string, timers string"
+_OUT = "kind string, pkey string, id string, body string, timers string"
+_TRIGGER = "pkey string, position bigint, id string, kind string, family string, payload string, at bigint"
+#: Commands between two notes of how far the outbox is sent, tries of a command that fails without being rejected.
+NOTE, TRIES = 64, 4
 
 
 class ProcessRunner:
-    def __init__(self, app: App, process: Process, path: str) -> None:
-        self.app, self.store, self.process = app, app.store, process
+    """Runs a process in rounds. A checkpoint names the instances, the outboxes not yet sent and how far the first of
+    them is, and the rejections that no round has seen; commands carry ids made from their trigger, under which the
+    log knows them, so whatever stops a run, the next one goes on and sends each command once."""
+
+    def __init__(self, app: App, process: Process, path: str, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.app, self.store, self.process, self.sleep = app, app.store, process, sleep
         self.path = f"{path.rstrip('/')}/{process.name}"
         self.spark, self.fs, self._jpath = self.store.spark, self.store.fs, self.store._jpath
 
     def checkpoint(self) -> dict:
-        folder = self._jpath(f"{self.path}/checkpoints")
-        if not self.fs.exists(folder):
-            return {"n": -1, "next": 0, "dir": None}
-        names = [f.getPath() for f in self.fs.listStatus(folder) if f.getPath().getName().endswith(".json")]
-        stream = self.fs.open(max(names, key=lambda p: p.getName()))
+        return newest(self.spark, f"{self.path}/checkpoints") or {"n": -1, "next": 0, "dir": None, "last_event_id": None, "log_id": self.store.manifest()["log_id"], "pending": [], "sent": None, "rejections": []}
+
+    def _commit(self, c: dict) -> dict:
+        c = {**c, "n": c["n"] + 1}
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+            publish(self.spark, f"{self.path}/checkpoints/{c['n']:012d}.json", json.dumps(c).encode())
+        except FileExistsError as e:
+            raise FailedPrecondition("another runner committed first", code="CONFLICT") from e
+        return c
+
+    def resume(self) -> dict:
+        """The checkpoint to go on from; anew if a cut or another log took away what it has seen."""
+        c = self.checkpoint()
+        stale = c["log_id"] != self.store.manifest()["log_id"] or c["next"] > self.store.head
+        if not stale and c["next"] and c["last_event_id"]:
+            own = self.store.events(c["next"] - 1, c["next"]).select("event_id").first()
+            stale = own is None or own[0] != c["last_event_id"]
+        if stale:
+            # commands sent before the cut are known to the log by their ids; those after it are sent again
+            c = self._commit({**c, "next": 0, "dir": None, "last_event_id": None, "log_id": self.store.manifest()["log_id"], "pending": [], "sent": None, "rejections": []})
+        return c
 
     def instances(self):
         c = self.checkpoint()
         return self.spark.read.parquet(f"{self.path}/{c['dir']}/states") if c["dir"] else self.spark.createDataFrame([], _STATE)
 
-    def _outbox(self, c: dict):
-        return self.spark.read.parquet(f"{self.path}/{c['dir']}/outbox").orderBy("id")
-
     def triggers(self, start: int, end: int):
-        """(pkey, position, trigger) of the log's events and fired timers of this process."""
+        """The log's events and fired timers of this process."""
         e = self.store.events(start, end).where(F.col("family").isin(*self.process.sources, TIMER_FIRED))
         key = F.lit(None).cast("string")
         for family, name in self.process.sources.items():
@@ -214,38 +246,43 @@ class ProcessRunner:
         fired = F.col("family") == TIMER_FIRED
         key = F.when(fired & (F.get_json_object("payload", "$.process") == self.process.name), F.get_json_object("payload", "$.key")).otherwise(key)
         kind = F.when(fired, "timer").otherwise("event")
-        return e.select(key.alias("pkey"), "position", kind.alias("kind"), "family", "payload", (F.col("recorded_at_nanos") / 1_000_000).cast("long").alias("at")).where("pkey is not null")
+        name = F.lpad(F.col("position").cast("string"), 20, "0")
+        return e.select(key.alias("pkey"), "position", name.alias("id"), kind.alias("kind"), "family", "payload", (F.col("recorded_at_nanos") / 1_000_000).cast("long").alias("at")).where("pkey is not null")
 
     def run(self) -> int:
-        """React to everything up to the head, then send the commands; returns how many commands were sent."""
+        """Send what an earlier run left, react to everything up to the head, send the commands of that; returns how many were sent."""
+        self.resume()
+        sent = self.dispatch()
         c, head = self.checkpoint(), self.store.head
-        if head > c["next"]:
-            self._round(c, self.triggers(c["next"], head), head)
-        return self.dispatch()
+        if head > c["next"] or c["rejections"]:
+            self._round(c, head)
+        return sent + self.dispatch()
 
-    def _round(self, c: dict, triggers, head: int) -> None:
-        process, schema = self.process, "kind string, pkey string, id string, body string, timers string"
+    def _round(self, c: dict, head: int) -> None:
+        process = self.process
 
         def react(key, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             state = json.loads(states["state"].iloc[0]) if len(states) else None
             timers = json.loads(states["timers"].iloc[0]) if len(states) else {}
             out = []
-            for r in rows.sort_values("position").itertuples():
+            for r in rows.sort_values(["position", "id"]).itertuples():
                 payload = json.loads(r.payload)
                 if r.kind == "timer":
                     if timers.get(payload["name"]) != payload["due"]:
                         continue  # cancelled, set anew or of an ended instance
                     del timers[payload["name"]]
+                if r.kind == "rejected" and state is None:
+                    continue  # the instance has ended
                 done = process.react(state, {"kind": r.kind, "family": r.family, "position": r.position, "payload": payload})
                 state = done.state
                 for name in done.cancel:
                     timers.pop(name, None)
-                for name, after in done.timers:
+                for name, due in [*((n, int(r.at) + after) for n, after in done.timers), *done.at]:
                     if name not in process.timers:
                         raise ValueError(f"timer {name} is not declared")
-                    timers[name] = int(r.at) + after
+                    timers[name] = due
                 for i, (command, target, body) in enumerate(done.commands):
-                    out.append(("command", key[0], f"{r.position:020d}-{i:04d}", json.dumps([command, target, body]), None))
+                    out.append(("command", key[0], f"{r.id}-{i:04d}", json.dumps([command, target, body]), None))
                 if state is None:
                     timers = {}
             if state is not None:
@@ -254,36 +291,67 @@ class ProcessRunner:
 
         reach(self.spark)
         name = f"rounds/{uuid.uuid4().hex}"
-        new = self.instances().groupBy("pkey").cogroup(triggers.groupBy("pkey")).applyInPandas(react, schema)
+        triggers = self.triggers(c["next"], head)
+        if c["rejections"]:
+            # what a command met comes before the events that followed
+            triggers = triggers.unionByName(self.spark.read.schema(_TRIGGER).parquet(*[f"{self.path}/{d}" for d in c["rejections"]]))
+        new = self.instances().groupBy("pkey").cogroup(triggers.groupBy("pkey")).applyInPandas(react, _OUT)
         new.write.parquet(f"{self.path}/{name}/all")
-        made = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/all")
+        made = self.spark.read.schema(_OUT).parquet(f"{self.path}/{name}/all")
         made.where("kind = 'state'").select("pkey", F.col("body").alias("state"), "timers").write.parquet(f"{self.path}/{name}/states")
         made.where("kind = 'command'").select("pkey", "id", "body").write.parquet(f"{self.path}/{name}/outbox")
-        out = self.fs.create(self._jpath(f"{self.path}/checkpoints/{c['n'] + 1:012d}.json"), False)
-        out.write(bytearray(json.dumps({"n": c["n"] + 1, "next": head, "dir": name}).encode()))
-        out.close()
+        last = self.store.events(head - 1, head).select("event_id").first() if head else None
+        self._commit({**c, "next": head, "dir": name, "last_event_id": last and last[0], "pending": [*c["pending"], name], "rejections": []})
 
     def dispatch(self) -> int:
-        """Send the last round's commands in the order of their ids; a rejection is a trigger of its instance."""
-        c, sent = self.checkpoint(), 0
-        if not c["dir"]:
-            return 0
-        for r in self._outbox(c).toLocalIterator():
-            command, target, body = json.loads(r["body"])
-            key = f"pm:{self.process.name}:{r['id']}"
-            if self.store.lookup_key(key) is None:
-                try:
-                    self.app.execute(command, target, body, key)
-                    sent += 1
-                except Rejected as e:
-                    self._rejected(r["pkey"], r["id"], e)
-        return sent
-
-    def _rejected(self, pkey: str, at: str, e: Rejected) -> None:
-        """Written to the log under the command's key, so that it happens once and in order."""
-        family = next(iter(self.process.sources))
-        body = {self.process.sources[family]: pkey, "rejected": e.code, "id": at}
-        self.store.append(f"process-{self.process.name}-{pkey}", "any", [Event(family, body)], f"pm:{self.process.name}:{at}")
+        """Send the commands of all pending outboxes in the order of their ids; rejections wait for the next round."""
+        c, count = self.checkpoint(), 0
+        while c["pending"]:
+            rejected: list[tuple] = []
+            box = self.spark.read.schema("pkey string, id string, body string").parquet(f"{self.path}/{c['pending'][0]}/outbox")
+            if c["sent"] is not None:
+                box = box.where(F.col("id") > c["sent"])
+            last = c["sent"]
+            for i, r in enumerate(box.orderBy("id").toLocalIterator(), 1):
+                command, target, body = json.loads(r["body"])
+                key = f"pm:{self.process.name}:{r['id']}"
+                if self.store.lookup_key(key) is None:
+                    try:
+                        self._send(command, target, body, key)
+                        count += 1
+                    except Rejected as e:
+                        about = {"command": command, "key": target, "code": e.code, "invariant": e.invariant}
+                        rejected.append((r["pkey"], int(r["id"][:20]), f"{r['id']}-r", "rejected", None, json.dumps(about), int(time.time() * 1000)))
+                    except Exception:
+                        self._note(c, last, rejected)
+                        raise
+                last = r["id"]
+                if i % NOTE == 0:
+                    c, rejected = self._note(c, last, rejected), []
+            c = self._note({**c, "pending": c["pending"][1:]}, None, rejected)
+        return count
+
+    def _send(self, command: str, target: str, body: dict, key: str) -> None:
+        """Execute a command; one that fails without being rejected is tried again after a while, and stays pending."""
+        for attempt in range(1, TRIES + 1):
+            try:
+                self.app.execute(command, target, body, key)
+                return
+            except Rejected:
+                raise
+            except (FailedPrecondition, Unavailable):
+                if attempt == TRIES:
+                    raise
+                self.sleep(backoff(attempt))
+
+    def _note(self, c: dict, sent: str | None, rejected: list[tuple]) -> dict:
+        """Record how far the outbox is sent, and what was rejected on the way."""
+        dirs = c["rejections"]
+        if rejected:
+            name = f"rejections/{uuid.uuid4().hex}"
+            self.spark.createDataFrame(rejected, _TRIGGER).coalesce(1).write.parquet(f"{self.path}/{name}")
+            dirs = [*dirs, name]
+        return self._commit({**c, "sent": sent, "rejections": dirs})
 
     def fire(self, now_ms: int) -> int:
         """Append a fired event for every timer due; one that was fired before is skipped by its key."""

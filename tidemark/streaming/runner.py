@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.errors import FailedPrecondition, NotFound, Unavailable
+from tidemark.sources.atomic import newest, publish, read
 from tidemark.sources.store import SCHEMA, LogStore, parse_token, token
 
 
@@ -43,20 +44,14 @@ class Runner:
         self.status, self.error = "STARTING", None
 
     def checkpoint(self) -> dict:
-        folder = self._jpath(f"{self.path}/checkpoints")
-        if not self.fs.exists(folder):
-            return {"n": -1, "next": 0, "last_event_id": None, "generation": self.store.manifest()["generation"], "dir": None}
-        names = [f.getPath() for f in self.fs.listStatus(folder) if f.getPath().getName().endswith(".json")]
-        stream = self.fs.open(max(names, key=lambda p: p.getName()))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = newest(self.spark, f"{self.path}/checkpoints")
+        return found or {"n": -1, "next": 0, "last_event_id": None, "generation": self.store.manifest()["generation"], "dir": None}
 
     def _commit(self, c: dict) -> None:
-        out = self.fs.create(self._jpath(f"{self.path}/checkpoints/{c['n']:012d}.json"), False)
-        out.write(bytearray(json.dumps(c).encode()))
-        out.close()
+        try:
+            publish(self.spark, f"{self.path}/checkpoints/{c['n']:012d}.json", json.dumps(c).encode())
+        except FileExistsError as e:
+            raise FailedPrecondition("another runner committed first", code="CONFLICT") from e
 
     def table(self) -> DataFrame:
         c = self.checkpoint()
@@ -97,17 +92,13 @@ class Runner:
 
     def _names(self, folder: str) -> list[str]:
         at = self._jpath(f"{self.path}/{folder}")
-        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+        return sorted(n for n in (f.getPath().getName() for f in self.fs.listStatus(at)) if not n.startswith(".")) if self.fs.exists(at) else []
 
     def snapshots(self) -> list[dict]:
         """The snapshots, oldest position first."""
         out = []
         for name in self._names("snapshots"):
-            stream = self.fs.open(self._jpath(f"{self.path}/snapshots/{name}"))
-            try:
-                out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            finally:
-                stream.close()
+            out.append(json.loads(read(self.spark, f"{self.path}/snapshots/{name}")))
         return sorted(out, key=lambda s: (s["next"], s["n"]))
 
     def snapshot(self) -> dict:
@@ -115,9 +106,7 @@ class Runner:
         c = self.checkpoint()
         about = {**c, "name": f"{c['next']:012d}-{c['n']:012d}"}
         if all(s["name"] != about["name"] for s in self.snapshots()):
-            out = self.fs.create(self._jpath(f"{self.path}/snapshots/{about['name']}.json"), False)
-            out.write(bytearray(json.dumps(about).encode()))
-            out.close()
+            publish(self.spark, f"{self.path}/snapshots/{about['name']}.json", json.dumps(about).encode())
         return about
 
     def drop_snapshot(self, name: str) -> None:

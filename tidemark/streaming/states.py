@@ -19,6 +19,7 @@ from tidemark.functions import values
 from tidemark.functions.errors import FailedPrecondition, InvalidArgument, NotFound, Unavailable
 from tidemark.functions.workers import reach
 from tidemark.operators.mutations import sorted_by
+from tidemark.sources.atomic import names, publish, read
 from tidemark.sources.store import LogStore, token
 from tidemark.streaming.app import Aggregate
 
@@ -48,14 +49,8 @@ class States:
 
     def snapshots(self) -> list[dict]:
         """The snapshots taken, oldest first: name, next position, last event, code."""
-        folder = self._jpath(f"{self.path}/snapshots")
-        out = []
-        for f in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
-            stream = self.fs.open(f.getPath())
-            try:
-                out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            finally:
-                stream.close()
+        folder = f"{self.path}/snapshots"
+        out = [json.loads(read(self.spark, f"{folder}/{n}")) for n in names(self.spark, folder)]
         return sorted(out, key=lambda s: (s["next"], s["taken"]))
 
     def _holds(self, s: dict) -> bool:
@@ -123,9 +118,7 @@ class States:
         self.states(m["head"], base).write.parquet(f"{self.path}/states/{name}")
         end = self.store.events(m["head"] - 1, m["head"]).select("event_id").first() if m["head"] else None
         about = {"name": name, "taken": m["n"], "next": m["head"], "last_event_id": end and end[0], "code": code_of(self.aggregate.evolve), "log_id": m["log_id"]}
-        out = self.fs.create(self._jpath(f"{self.path}/snapshots/{name}.json"), False)
-        out.write(bytearray(json.dumps(about).encode()))
-        out.close()
+        publish(self.spark, f"{self.path}/snapshots/{name}.json", json.dumps(about).encode())
         return about
 
     def get(self, key: str, min_version: int | None = None) -> tuple[dict | None, int | None, str]:
