@@ -168,6 +168,12 @@ def compile_rule(rule: str | object, schema: T.StructType, optional: set[str] =
             raise RuleError(f"{x.name} is compared through len() or one of its fields")
         return c, _kind(t), x.name in optional
 
+    return build(tree, operand)
+
+
+def build(tree: object, operand) -> Column:
+    """A Column for a parsed rule; ``operand(term)``: Column, kind and, for a path, whether it may be absent."""
+
     def compare(node: Compare) -> Column:
         left, kind, opt = operand(node.left)
         absent, vacuous = left.isNull(), bool(opt)
@@ -186,10 +192,10 @@ def compile_rule(rule: str | object, schema: T.StructType, optional: set[str] =
             result = {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right, "==": left == right, "!=": left != right}[node.op] if kind == other else F.lit(False)
         return F.when(absent, F.lit(vacuous)).otherwise(result)
 
-    def build(node: object) -> Column:
+    def whole(node: object) -> Column:
         if isinstance(node, Compare):
             return compare(node)
-        parts = [build(p) for p in node.parts]
+        parts = [whole(p) for p in node.parts]
         if node.op == "not":
             return ~parts[0]
         out = parts[0]
@@ -197,7 +203,7 @@ def compile_rule(rule: str | object, schema: T.StructType, optional: set[str] =
             out = out & p if node.op == "and" else out | p
         return out
 
-    return build(tree)
+    return whole(tree)
 
 
 def violations(df: DataFrame, rules: dict[str, str], optional: set[str] = frozenset()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import rules, upcasts, values
+from tidemark.functions import rules, upcasts, validate, values
 from tidemark.operators import compiled, fold, log, mutations
 from tidemark.operators.running import running
 from tidemark.plans import orders
@@ -323,6 +323,33 @@ def idempotent_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return log.first_of_key(keyed, "key")
 
 
+#: What the events of two families must look like to be appended.
+SALES = """
+layer domain
+context Activity {
+  value Sale { amount: decimal, k: int } rules { Small: k < 95, Paid: amount > 20 }
+  event purchase v1 { user_id: int, sale: Sale, tags: set<int>, note: string? }
+  event click v1 { user_id: int, k: int = 3 }
+  aggregate User { key user_id: int stream "user-{user_id}" events purchase, click }
+}
+"""
+
+
+@query(f"""WITH {A}, s AS (SELECT position, name, user_id, k, CAST(value AS VARCHAR) AS v, value, CASE WHEN k % 13 = 0 THEN 'user-x' ELSE stream_id END AS stream, list_sort([k % 3, 9, k % 5]) AS tags FROM a),
+    e AS (SELECT *, CASE WHEN name = 'purchase' THEN concat_ws('; ', CASE WHEN k >= 95 THEN '$.sale: violates Small' END, CASE WHEN value <= 20 THEN '$.sale: violates Paid' END, CASE WHEN k % 3 = k % 5 THEN '$.tags: duplicate element' END)
+        WHEN name = 'click' THEN CASE WHEN k % 2 = 1 THEN '$.k: wrong type' ELSE '' END ELSE 'unknown event type' END AS field_errors FROM s),
+    f AS (SELECT *, CASE WHEN field_errors <> '' THEN field_errors WHEN k % 13 = 0 THEN 'belongs to stream user-' || user_id ELSE '' END AS errors FROM e)
+    SELECT position, errors, CASE WHEN errors = '' AND name = 'purchase' THEN '{{"user_id":' || user_id || ',"sale":{{"amount":"' || v || '","k":' || k || '}},"tags":[' || array_to_string(tags, ',') || '],"note":null}}'
+        WHEN errors = '' THEN '{{"user_id":' || user_id || ',"k":3}}' END AS canonical FROM f""")
+def prepare_event_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as clients send them: accepted ones with their canonical payload, the others with what is wrong."""
+    k, user = F.col("k").cast("string"), F.col("user_id").cast("string")
+    sale = F.concat(F.lit('{"tags": ['), (F.col("k") % 3).cast("string"), F.lit(", 9, "), (F.col("k") % 5).cast("string"), F.lit('], "sale": {"k": '), k, F.lit(', "amount": "'), F.col("value").cast("string"), F.lit('"}, "user_id": '), user, F.lit("}"))
+    click = F.concat(F.lit('{"user_id": '), user, F.when(F.col("k") % 2 == 1, ', "k": "one"}').otherwise("}"))
+    rows = activity_log(spark, sf).select("position", F.when(F.col("k") % 13 == 0, "user-x").otherwise(F.col("stream_id")).alias("stream_id"), F.concat(F.lit("Activity."), "name").alias("type_ref"), F.when(F.col("name") == "purchase", sale).otherwise(click).alias("payload"), F.lit("{}").alias("metadata"))
+    return validate.prepared(parse(SALES), rows).select("position", F.array_join("errors", "; ").alias("errors"), "canonical")
+
+
 _MODES = "['any', 'no_stream', 'stream_exists', 'exact']"
 
 

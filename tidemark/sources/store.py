@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, PermissionDenied
+from tidemark.schema.model import Schema
 from tidemark.sources.atomic import newest, publish, read
 
 SCHEMA = "position bigint, batch_id bigint, last_in_batch boolean, event_id string, stream_id string, stream_version bigint, family string, type_version int, recorded_at_nanos bigint, payload string, metadata string"
@@ -44,16 +45,17 @@ def parse_token(text: str) -> tuple[str, int, int]:
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, domain: Schema | None = None) -> None:
+        """``domain``: what ``append`` holds events against; without it payloads are written as they come."""
+        self.spark, self.path, self.domain = spark, path.rstrip("/"), domain
         self._jpath = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # ---- manifests
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, log_id: str | None = None) -> LogStore:
-        store = cls(spark, path)
+    def create(cls, spark: SparkSession, path: str, log_id: str | None = None, domain: Schema | None = None) -> LogStore:
+        store = cls(spark, path, domain)
         if store.fs.exists(store._jpath(f"{store.path}/manifests")):
             raise FailedPrecondition("a log exists there")
         store._commit({"n": 0, "log_id": log_id or str(uuid.uuid4()), "head": 0, "epoch": 1, "generation": 0, "cut": None, "fenced": False, "files": [], "keys": []})
@@ -127,6 +129,8 @@ class LogStore:
         if not system and any(e.family.startswith(RESERVED) for e in events):
             raise PermissionDenied("reserved context")
         payloads = [json.dumps(e.payload, ensure_ascii=False, separators=(",", ":")) for e in events]
+        if self.domain is not None:
+            payloads = self._prepared(stream, events, payloads)
         if any(len(p.encode()) > RECORD_BYTES for p in payloads):
             raise InvalidArgument("oversized record")
         m = self.manifest() if at is None else at
@@ -143,6 +147,20 @@ class LogStore:
         self._add(m, self.spark.createDataFrame(rows, SCHEMA).coalesce(1), len(rows), [(key, first)] if key is not None else [])
         return first + len(rows) - 1
 
+    def _prepared(self, stream: str, events: list[Event], payloads: list[str]) -> list[str]:
+        """Canonical payloads of events that fit the domain and the stream; system events pass as they are."""
+        from tidemark.functions.validate import prepared
+
+        own = [i for i, e in enumerate(events) if not e.family.startswith(RESERVED)]
+        rows = [(i, stream, f"{events[i].family}@v{events[i].version}", payloads[i], json.dumps(events[i].metadata or {})) for i in own]
+        frame = self.spark.createDataFrame(rows, "i int, stream_id string, type_ref string, payload string, metadata string")
+        for r in prepared(self.domain, frame, sorted({events[i].family for i in own})).select("i", "canonical", "errors").collect():
+            if r["errors"]:
+                kind = NotFound if r["errors"] == ["unknown event type"] else InvalidArgument
+                raise kind(f"{events[r['i']].family}: {'; '.join(r['errors'])}")
+            payloads[r["i"]] = r["canonical"]
+        return payloads
+
     def append_frame(self, rows: DataFrame, epoch: int | None = None) -> int:
         """Append many events as one batch each: ``rows(ord, stream_id, family, type_version, recorded_at_nanos, payload)``.
 
