@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
-from brute import repeats, sha, simhash
+from brute import components, repeats, sha, simhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import _shared, queries
 from tidemark.llm import simhash as op2
@@ -134,3 +135,18 @@ def test_equal_hashes_are_equal_windows(ws, size):
     text = [tuple(ws[i : i + size]) for i in range(max(0, len(ws) - size + 1))]
     assert len(h) == len(text) and len(set(h.tolist())) == len(set(text))
     assert all((h[i] == h[j]) == (text[i] == text[j]) for i in range(len(text)) for j in range(i))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "FEW", 10)
+    monkeypatch.setattr(_shared, "HOT", 20)
+    rng = np.random.default_rng(4)
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 700)] + [(700 + i, 701 + i) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1300, (250, 2))] + [(699, 730)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in _shared.connected_components(_shared.Scratch(spark), df).collect()}
+    nodes = sorted({x for e in edges for x in e if e[0] != e[1]})
+    assert got == components(nodes, [e for e in edges if e[0] != e[1]])
+    rows = spark.range(1000).selectExpr("if(id < 700, 1, id % 50) AS k", "id")
+    small = rows.groupBy("k").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
+    plan = _shared.join_hot(rows, small, "k", 1000)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString() and sorted(map(tuple, plan.collect())) == sorted(map(tuple, rows.join(small.drop("n"), "k").collect()))

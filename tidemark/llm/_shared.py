@@ -68,8 +68,9 @@ def clean_up(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: A key that holds more than this share of all rows is hot; there are at most so many hot keys.
-HOT = 1000
+#: A key that holds more than this share of all rows is hot; there are at most so many hot keys. Up to ``FEW`` rows
+#: none is, as one task holds all of them with ease.
+HOT, FEW = 1000, 1_000_000
 
 
 def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
@@ -78,7 +79,9 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFra
     The rows of a hot key stay where they are and meet its row by broadcast; at most ``HOT`` keys have a thousandth of
     all rows, so the broadcast is bounded. All other keys meet in a sort-merge join.
     """
-    hot = F.col("n") > max(total // HOT, HOT)
+    if total <= FEW:
+        return rows.join(small.drop("n"), key)
+    hot = F.col("n") > total // HOT
     left = rows.join(F.broadcast(small.where(hot)), key, "left")
     few = left.where("n is null").select(rows.columns).join(small.where(~hot).hint("merge"), key)
     return left.where("n is not null").unionByName(few).drop("n")
