@@ -67,6 +67,19 @@ def test_embedding_edges(spark):
     assert sorted(tuple(r)[1:] for r in embed_dedup.near_duplicates(twice).collect() if r["vec_id"]) == [(2, 1, True)] * 2
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_find_all_pairs_of_enough_collisions(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(700, 24)), rng.normal(size=(300, 24))
+    b[:150] = a[:150] + rng.normal(size=(150, 24)) * 0.2
+    b[5], a[9] = a[3], b[7]
+    count = (np.abs(a[:, None, :] - b[None, :, :]) <= 0.5).sum(axis=2)
+    for t in (24, embed_dedup.calibrated_count(), 12, 1):
+        i, j = embed_dedup.candidates(a, b, 0.5, t)
+        assert sorted(zip(i.tolist(), j.tolist())) == list(zip(*(x.tolist() for x in np.nonzero(count >= t))))
+    assert len(embed_dedup.candidates(a[:0], b, 0.5, 19)[0]) == len(embed_dedup.candidates(a, b[:0], 0.5, 19)[0]) == 0
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 64))

@@ -9,8 +9,8 @@ a probability of at most ``MISS``.
 
 One more direction deals the classes: cells of a width that linked pairs exceed with a like probability, each cell
 compared with itself and the next. Cells are cut into blocks of bounded size, and a task compares two blocks: it
-sorts a block along each direction, finds the windows of the other's vectors, counts, verifies, and returns for each
-class its number of links and the smallest class its links reach inside the pair of blocks: rows in proportion to
+sorts a block along a direction, takes the pairs that the windows of the other's vectors give, thins them out by a few
+more directions, counts the collisions of the rest, verifies, and returns for each class its number of links and the smallest class its links reach inside the pair of blocks: rows in proportion to
 the classes, not to the pairs.
 
 Labels that are null, and vectors that are null, empty, zero, or hold a null or non-finite component link with
@@ -64,19 +64,34 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
-    """How many directions of (n, m) and (k, m) projections collide, for each pair."""
-    count = np.zeros((len(a), len(b)), np.uint8)
-    place = np.arange(len(b))
-    for i in range(a.shape[1]):
-        order = np.argsort(b[:, i], kind="stable")
-        line = b[order, i]
-        lo, hi = np.searchsorted(line, a[:, i] - half, "left"), np.searchsorted(line, a[:, i] + half, "right")
-        inside = (place >= lo[:, None]) & (place < hi[:, None])
-        back = np.empty_like(order)
-        back[order] = place
-        count += inside[:, back]
-    return count
+def candidates(a: np.ndarray, b: np.ndarray, half: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of (n, m) and (k, m) projections that collide on at least ``count`` of the m directions.
+
+    A pair that misses at most m - count directions collides on all of at least one of m - count + 1 groups of them. So
+    a group's first direction is sorted and each window gives its pairs, the group's other directions thin these out,
+    and only pairs that pass a whole group have their collisions counted over all directions.
+    """
+    m = a.shape[1]
+    found = []
+    for group in np.array_split(np.arange(m), m - count + 1):
+        first = group[0]
+        order = np.argsort(b[:, first], kind="stable")
+        line = b[order, first]
+        lo, hi = np.searchsorted(line, a[:, first] - half, "left"), np.searchsorted(line, a[:, first] + half, "right")
+        for at in range(0, len(a), 512):  # bounds the pairs held at once
+            size = (hi - lo)[at : at + 512]
+            i = np.repeat(np.arange(at, at + len(size)), size)
+            j = order[np.arange(len(i)) + np.repeat(lo[at : at + 512] - np.cumsum(size) + size, size)]
+            for d in group[1:]:
+                near = np.abs(a[i, d] - b[j, d]) <= half
+                i, j = i[near], j[near]
+            found.append(i * len(b) + j)
+    pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    i, j = pair // max(len(b), 1), pair % max(len(b), 1)
+    total = np.zeros(len(i), np.int64)
+    for d in range(m):
+        total += np.abs(a[i, d] - b[j, d]) <= half
+    return i[total >= count], j[total >= count]
 
 
 def compare(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> np.ndarray:
@@ -84,9 +99,8 @@ def compare(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> np.ndarr
     dim = x.shape[1]
     half, _ = _spread(dim, cosine)
     lines = directions(dim)[:, 1:]
-    maybe = collisions(x @ lines, y @ lines, half) >= calibrated_count()
-    linked = np.zeros(maybe.shape, bool)
-    i, j = np.nonzero(maybe)
+    i, j = candidates(x @ lines, y @ lines, half, calibrated_count())
+    linked = np.zeros((len(x), len(y)), bool)
     for at in range(0, len(i), 1 << 18):
         p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
         linked[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
