@@ -44,6 +44,39 @@ def test_chunks_agree_wherever_they_are_cut(parts, times):
     assert c.encode(text.encode()).tolist() == reference(c, text)
 
 
+def test_joins_grow_until_they_agree(codec, monkeypatch):
+    text = mixed(9000, 5).encode()
+    want = reference(codec, text.decode())
+    single = {b[0]: i for i, b in enumerate(codec.bytes_of) if len(b) == 1}
+    honest, repair, wide = codec._ids, codec._repair, []
+
+    def spoilt(chunk):
+        """The last ids of a chunk in single bytes, as if more than its last word depended on what follows."""
+        ids, _ = honest(chunk)
+        if not text.endswith(chunk) and len(ids) > 100:
+            ids = np.array([*ids[:-9], *(single[x] for i in ids[-9:] for x in codec.bytes_of[i])], np.uint32)
+        return ids, np.cumsum(codec.length[ids])
+
+    def watched(raw, borders, held, new):
+        got = repair(raw, borders, held, new)
+        wide.append(0 if held is None else held[5] - borders.index(got[0]))
+        return got
+
+    codec.chunks.clear()
+    monkeypatch.setattr(codec, "_ids", spoilt)
+    monkeypatch.setattr(codec, "_repair", watched)
+    assert codec._by_chunk(text).tolist() == want
+    assert len(wide) > 20 and max(wide) > 1  # some joins grew
+    codec.chunks.clear()
+
+
+def test_short_texts_are_cut_as_well(codec):
+    texts = [mixed(n, 100 + n).encode() for n in range(1, 60)]
+    assert any(len(codec._cuts(np.frombuffer(t, np.uint8))) for t in texts if 0 < len(t) < 1 << bpe.CHUNK_BITS)
+    for t in texts:
+        assert codec._by_chunk(t).tolist() == reference(codec, t.decode())
+
+
 def test_invalid_utf8_does_not_crash(codec):
     raw = b"ab \xff\xfe cd " * 600
     assert codec.encode(raw).tolist() == codec.whole(raw).tolist()

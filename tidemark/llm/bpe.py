@@ -1,11 +1,13 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
-A rolling hash over the bytes cuts every document into chunks whose borders depend on content alone, so documents
-that share passages share chunks; a chunk is encoded once per worker and its ids are reused. A chunk's first and last
-words may have been cut or may merge with the neighbour, so the tail of one chunk and the head of the next, back and
-forward to the nearest *certain* border, are encoded again as one string. A border is certain where a space follows
-a character that is not white space: no pre-token crosses it and none looks past it, so the ids on either side agree
-with those of the whole text. Where a chunk has no certain border, the string widens over the whole chunk.
+A rolling hash over the bytes cuts every document, however short, into chunks whose borders depend on content alone, so
+documents that share passages share chunks; a chunk is encoded once per worker and its ids are reused. A chunk's first
+and last words may have been cut or may merge with the neighbour, so joins are repaired: the text around a join is
+encoded again as one string, from a *certain* border in the left chunk to one in the right chunk. A border is certain
+where a space follows a character that is not white space: no pre-token crosses it and none looks past it. The string
+takes in one stretch between such borders more on either side than the join needs, and its ids there must be exactly
+those of the chunks; where they are not, it grows by a stretch on each side until its outermost ones agree. A document whose joins
+never agree is encoded as one string. Chunks without a certain border become part of the join around them.
 
 Sharing is per Python worker (a bounded memo), not cluster-wide: sharing across workers would shuffle every chunk's
 text twice, which costs more than encoding it.
@@ -47,7 +49,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Disagreement(Exception):
-    """A chunk's own ids have no border where one is certain: the text is no valid UTF-8."""
+    """The joins of a text do not agree with its chunks, as in a text that is no valid UTF-8."""
 
 
 class Codec:
@@ -74,7 +76,7 @@ class Codec:
         for b, i in [*ranks.items(), *((s.encode(), i) for s, i in special.items())]:
             self.bytes_of[i] = b
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.chunks: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.chunks: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.joins: dict[bytes, np.ndarray] = {}
         rng = np.random.default_rng(1)
         self.gear = rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -130,26 +132,25 @@ class Codec:
             cuts = np.unique(np.concatenate([cuts, extra[extra < len(data)]]))
         return cuts
 
-    def _chunk(self, chunk: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids before the chunk's first certain border, between it and the last one, and after."""
+    def _ids(self, chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk's ids and where in it each of them ends."""
         got = self.chunks.get(chunk)
         if got is None:
             ids = self.whole(chunk)
-            ends = np.cumsum(self.length[ids])
-            i, j = np.searchsorted(ends, [first, last]) + 1
-            if ends[i - 1] != first or ends[j - 1] != last:
+            ends = np.cumsum(self.length[ids]).astype(np.int32)
+            if not len(ends) or ends[-1] != len(chunk):
                 raise Disagreement
             if len(self.chunks) >= MEMO:
                 for old in [k for k, _ in zip(self.chunks, range(MEMO // 2))]:
                     del self.chunks[old]
-            got = self.chunks[chunk] = ids[:i], ids[i:j], ids[j:]  # views of one array
+            got = self.chunks[chunk] = ids, ends
         return got
 
     def _join(self, raw: bytes) -> np.ndarray:
         got = self.joins.get(raw)
         if got is None:
             got = self.whole(raw)
-            if len(raw) < 256:
+            if len(raw) < 1 << CHUNK_BITS + 1:
                 if len(self.joins) >= MEMO:
                     self.joins.clear()
                 self.joins[raw] = got
@@ -163,38 +164,84 @@ class Codec:
             return self.whole(raw)
 
     def _by_chunk(self, raw: bytes) -> np.ndarray:
-        if len(raw) < 1 << CHUNK_BITS:
-            return self._join(raw)
         data = np.frombuffer(raw, np.uint8)
         cuts = self._cuts(data)
         if not len(cuts):
-            return self.whole(raw)
+            return self._join(raw)  # the text is one chunk
         prev, prev2 = data[:-1], np.concatenate([data[:1], data[:-2]])
         solid = (prev >= 0x21) & (prev <= 0x7E) | (prev >= 0x80) & (prev2 == 0xC3)
         certain = np.flatnonzero((data[1:] == 0x20) & solid) + 1
         start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(data)]])
         a, b = np.searchsorted(certain, start + 2, "left"), np.searchsorted(certain, end, "left") - 1
+        borders = certain.tolist()
         out: list[np.ndarray] = []
-        left = 0  # where the string to encode again starts
-        n = len(start)
+        held = None  # the last chunk with borders: ids, ends, start, byte from which it is not yet put out, first and last border left
+        last = -1
         for k, (s, e, i, j) in enumerate(zip(start.tolist(), end.tolist(), a.tolist(), b.tolist())):
             if i > j:
                 continue
-            first, last = int(certain[i]), int(certain[j])
-            head, body, tail = self._chunk(raw[s:e], first - s, last - s)
-            if left == s:
-                out.append(head)  # the string to join is this head alone, which starts at a certain border
+            ids, ends = self._ids(raw[s:e])
+            if held is None and s == 0:
+                held = ids, ends, 0, 0, i, j
             else:
-                out.append(self._join(raw[left:first]))
-            out.append(body)
-            left = last
-            if k == n - 1:
-                out.append(tail)
-                left = e
-        if left < len(raw):
-            out.append(self._join(raw[left:]))
+                left, right, joined, border = self._repair(raw, borders, held, (ids, ends, s, i, j))
+                if held is not None:
+                    out.append(held[0][_place(held[1], held[3] - held[2]) : _place(held[1], left - held[2])])
+                out.append(joined)
+                held = ids, ends, s, right, border, j
+            last = k
+        if held is None:
+            return self._join(raw)
+        ids, ends, s, at, _, j = held
+        if last == len(start) - 1:
+            out.append(ids[_place(ends, at - s) :])
+        else:
+            out.append(ids[_place(ends, at - s) : _place(ends, borders[j] - s)])
+            out.append(self._join(raw[borders[j] :]))
         return np.concatenate(out)
 
+    def _repair(self, raw: bytes, borders: list[int], held: tuple | None, new: tuple) -> tuple[int, int, np.ndarray, int]:
+        """Encode the text around a join again until it agrees with the chunks on both sides: from, to, ids, border it ends at."""
+        ids, ends, s, i, j = new
+        wider = 0
+        while True:
+            right = min(i + 1 + wider, j)
+            to = borders[right]
+            if held is None:
+                left, start = 0, 0
+            else:
+                left = max(held[5] - 1 - wider, held[4])
+                start = borders[left]
+            joined = self._join(raw[start:to])
+            stops = np.cumsum(self.length[joined])
+            # the outermost stretches decide; what lies between is what the join changes
+            inner = borders[max(right - 1, i)]
+            agrees = _same(joined, stops, inner - start, to - start, ids, ends, inner - s, to - s)
+            if agrees and held is not None:
+                inner = borders[min(left + 1, held[5])]
+                agrees = _same(joined, stops, 0, inner - start, held[0], held[1], start - held[2], inner - held[2])
+            if agrees:
+                return start, to, joined, right
+            if right == j and (held is None or left == held[4]):
+                raise Disagreement
+            wider += 1
+
+
+def _place(ends: np.ndarray, offset: int) -> int:
+    """How many ids end at or before a byte; raises if none ends there."""
+    n = int(np.searchsorted(ends, offset)) + 1 if offset else 0
+    if n and (n > len(ends) or ends[n - 1] != offset):
+        raise Disagreement
+    return n
+
+
+def _same(x: np.ndarray, x_ends: np.ndarray, x_from: int, x_to: int, y: np.ndarray, y_ends: np.ndarray, y_from: int, y_to: int) -> bool:
+    """Whether two stretches of text have the same ids, with borders of ids at both ends."""
+    try:
+        return np.array_equal(x[_place(x_ends, x_from) : _place(x_ends, x_to)], y[_place(y_ends, y_from) : _place(y_ends, y_to)])
+    except Disagreement:
+        return False
+
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
