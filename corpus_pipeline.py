@@ -45,14 +45,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out the words of repeated passages; a text that lost words is the words left, joined by one space."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # the text moves once; the row beside it holds the other columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     out = substring.with_cut(docs.select(row, F.col("doc_id").alias("id"), F.col("text").alias("words")), "words", "id")
     lost = F.col("__cut.n_removed") > 0
-    text = F.when(lost, F.col("__cut.kept")).otherwise(F.col("row.text"))
+    text = F.when(lost, F.col("__cut.kept")).otherwise(F.col("words"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(lost, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
