@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import sys
 import textwrap
 from collections import Counter
 
@@ -138,6 +139,66 @@ def test_wand_by_list_is_exact(seed, n_lists, k, floored):
     assert topk.wand_by_list(lists, before, k, floor) == [(-s, d) for s, d in want if -s >= floor]
 
 
+def made_shard(rng, n, n_terms):
+    """A shard of ``n`` documents in order of length, with lists of all sizes, and the exact units of each list's postings."""
+    lengths = np.sort(rng.choice(np.array([40, 100, 300], "<u4"), n))
+    docs = np.empty(n, topk._DOCS)
+    docs["id"], docs["n"] = rng.permutation(n), lengths
+    lists = [np.flatnonzero(rng.random(n) < share) for share in rng.choice([0.002, 0.02, 0.1, 0.6], n_terms)]
+    lists = [x if len(x) else np.array([0]) for x in lists]
+    tfs = [rng.integers(1, 4, len(x)).astype(np.uint8) for x in lists]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    doc, tf = np.concatenate(lists).astype(np.uint16), np.concatenate(tfs)
+    bounds, where = topk._bounds(doc, tf.astype(np.uint32), lengths, ends)
+    df = np.diff(ends) * 3
+    shard = topk.Shard(docs, np.arange(n_terms) * 2, df, [topk._blobs(doc, ends), topk._blobs(tf, ends), topk._blobs(bounds, where)], 3 * n, 100.0)
+    norm = topk.K1 * (1 - topk.B + topk.B * lengths / 100.0)
+    return shard, docs, [(d, topk.weigh(topk.idf(3 * n, f), t.astype(float), norm[d])) for d, t, f in zip(lists, tfs, df)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 12), st.sampled_from([0, 0.5, 1, 1.1]), st.sampled_from([64, 70, 900]))
+def test_shard_search_is_exact(seed, n_terms, k, floored, n):
+    rng = np.random.default_rng(seed)
+    shard, docs, lists = made_shard(rng, n, 60)
+    for _ in range(3):
+        own = np.sort(rng.choice(60, n_terms, replace=False))
+        total = np.zeros(n)
+        for i in own:
+            total[lists[i][0]] += lists[i][1]
+        want = sorted((-total[d], int(docs["id"][d])) for d in np.flatnonzero(total))[:k]
+        floor = np.rint(floored * -want[-1][0])
+        got = shard.best(np.append(own * 2, 999), k, floor)
+        assert [(-s, int(docs["id"][d])) for s, d in got] == [x for x in want if -x[0] >= floor]
+
+
+def test_work_of_a_short_query_is_bounded():
+    """Searching a shard makes few calls whatever its size: a walk document by document makes some for each."""
+    rng = np.random.default_rng(5)
+    shard, _, _ = made_shard(rng, 8000, 40)
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        for i in range(10):
+            shard.best(np.sort(rng.choice(40, 8, replace=False)) * 2, 10, 0.0)
+    finally:
+        sys.setprofile(None)
+    assert sum(calls.values()) < 10 * 1500
+
+
+def test_units_of_shards():
+    shards = [(i, w) for i, w in enumerate([topk.SHARD] * 40 + [100] * 60 + [10 * topk.SHARD] * 2)]
+    of, unions = topk.unite(shards)
+    assert [s for s, _, _ in of] == list(range(102)) and [len(x) > 0 for x in unions] == [True] * 3
+    assert {u: t for _, u, t in of} == {u: t for t, us in enumerate(unions) for u in us}
+    words = Counter()
+    for s, u, _ in of:
+        words[u] += shards[s][1]
+    assert all(w <= topk.UNION or sum(u == v for _, v, _ in of) == 1 for u, w in words.items())
+    assert len(words) < 30
+    assert topk.unite([]) == ([], [[], [], []])
+
+
 def test_wand_skips_blocks():
     rng = np.random.default_rng(1)
     n = 50000

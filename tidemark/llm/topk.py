@@ -1,23 +1,24 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge.
 
 Indexing: a task turns the documents of its partition into shards of bounded size. A shard has a row per term with
-its postings (documents' places and term frequencies) and one row for its documents (ids in rising order, lengths). A
+its postings (documents' places and term frequencies) and one row for its documents (ids and rising lengths). A
 list of more than one block also holds, for every block of ``BLOCK`` postings, its last document, its largest term
 frequency and the length of its shortest document: whatever the corpus statistics, no posting of the block scores more
 than these two together. The document frequency of a term, the number of documents and their mean length are sums
 over all shards, so a score does not depend on the sharding.
 
-Searching: postings of the terms asked for are gathered by shard and slice of the queries, a slice being a bounded
-number of queries, so that neither many documents nor many queries make a task long. A query of up to ``FEW`` terms is
-walked document by document: documents whose lists' maxima, and blocks whose block maxima, can't reach the k-th score
-so far are skipped. A longer query goes list by list, all documents at once. Lists of one block come first, then the
-others from the rarest to the commonest, whole, until the maxima of the remaining ones add up to less than the k-th
-score: from there on only documents seen before can win. When few of those are left, they are looked up in the
-remaining lists, and only in blocks whose maximum still lifts one of them to the k-th score; no other block of these
-lists is scored. A task scores a block at most once for all of its queries. Each shard returns its own k best; the
-best of these are exact. The shards take part in three rounds, each of about five times as many as the round before; a
-round starts from the k-th score that the earlier ones found for a query, so that shards skip, and do not return, what
-can't be among the k best of all.
+Searching: postings of the terms asked for are gathered by unit, a few shards that one task searches one after the
+other, and slice of the queries, a slice being a bounded number of queries, so that neither many documents nor many
+queries make a task long, and queries are sent once per unit. A query goes list by list, all documents of a shard at
+once. Lists of up to a 16th of the shard's documents are added up whole. The commoner ones stand as rows of scores,
+with a bound for every block of documents that comes from the bounds in the index; they follow in steps from the rarest
+to the commonest. A document takes part in a step only if its score so far and its block's bounds of all remaining rows
+reach the k-th score. Documents of a shard stand in order of length, which keeps the bounds of a block close. Each
+unit returns its own k best; the best of these are exact. The shards take part in three rounds, each of about five
+times as many as the round before; a round starts from the k-th score that the earlier ones found for a query, and a
+shard from that of its unit's earlier ones, so that shards skip, and do not return, what can't be among the k best of
+all. ``wand`` and ``wand_by_list`` search lists that are not scored yet (``Postings``); ``search`` does not call them,
+as a walk in Python costs more than a scan of the shard.
 
 Scores are multiples of 2**-32, the nearest to each posting's BM25 weight: sums are then exact in any order (below
 2**53 units), and documents with the same words tie exactly, in whatever shards they are. Equal scores rank by id.
@@ -46,10 +47,14 @@ from tidemark.llm.bpe import raw_texts
 K1, B = 1.2, 0.75
 #: Words and documents of a shard, postings of a block.
 SHARD, DOCS, BLOCK = 6_000_000, 1 << 16, 64
-#: Terms of a query up to which it is walked document by document; queries of a slice.
+#: Terms of a query for which ``wand``, document by document, is meant; queries of a slice.
 FEW, SLICE = 16, 1 << 14
 #: Looking a document up in a list costs as much as adding so many postings.
 LOOKUP = 16
+#: A list with more than this share of a shard's documents may become a row of scores; the rows hold so many numbers.
+COMMON, ROWS = 16, 6_000_000
+#: Words of the shards that one task searches; postings that are scored at a time.
+UNION, STEP = 18_000_000, 1 << 18
 UNIT = 2.0**32
 NO_ID = 2**63 - 1
 _BOUND = np.dtype([("last", "<u2"), ("tf", "<u4"), ("least", "<u4")])
@@ -95,7 +100,7 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     names = ["shard", "term", "n", "total", "docs", "tfs", "bounds"]
 
     def flush(shard: int, ids: list[int], sizes: list[int], terms: list[np.ndarray], tfs: list[np.ndarray], vocabulary: _Vocabulary) -> Iterator[pa.RecordBatch]:
-        order = sorted(range(len(ids)), key=ids.__getitem__)
+        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))  # by length: blocks have close bounds
         doc = np.repeat(np.arange(len(order), dtype=np.uint16), [len(terms[i]) for i in order])
         tf = np.concatenate([tfs[i] for i in order])
         docs = np.empty(len(order), _DOCS)
@@ -330,6 +335,39 @@ def wand_by_list(lists: list[Postings], total: np.ndarray, k: int, floor: float
     return list(zip(own[best].tolist(), seen[best].tolist()))
 
 
+def by_rows(rows: np.ndarray, most: np.ndarray, at: np.ndarray, total: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of all that score at least the k-th best score and ``floor``, from ``total`` and the rows ``at``.
+
+    ``rows`` hold the scores of all documents in lists, ``most`` their maxima by blocks of ``BLOCK`` documents, and
+    ``total``, of whole blocks, what other lists have given each document.
+    """
+    least, size = floor, len(total)
+    if not floor:  # no shard has given a score to begin with: the best ones so far give a score that k documents reach
+        few = np.argpartition(total, -4 * k)[-4 * k :] if 4 * k < size else np.arange(size)
+        if k <= len(few):
+            least = float(np.partition(total[few] + rows[at[:, None], few].sum(0), -k)[-k])
+    cuts = np.arange(0, len(at), max(4, -(-len(at) // 5)))
+    rest = np.zeros((len(cuts) + 1, most.shape[1]))  # rest[i]: the block's maxima from the i-th cut on
+    rest[:-1] = np.cumsum(np.add.reduceat(most[at], cuts, axis=0)[::-1], axis=0)[::-1]
+    seen = np.flatnonzero(total.reshape(-1, BLOCK) >= (least - rest[0])[:, None])
+    own, whole = total[seen], True
+    for i, lo in enumerate(cuts.tolist()):
+        part = at[lo : cuts[i + 1] if i + 1 < len(cuts) else None]
+        if whole and len(seen) * 4 > size:
+            for r in part.tolist():
+                total += rows[r]
+            own = total[seen]
+        else:
+            whole = False
+            own = own + rows.ravel().take(part[:, None] * size + seen).sum(0)
+        fine = own >= least - rest[i + 1][seen // BLOCK]
+        seen, own = seen[fine], own[fine]
+    if k < len(own):
+        least = max(least, float(np.partition(own, -k)[-k]))
+    fine = (own >= least) & (own > 0)
+    return seen[fine], own[fine]
+
+
 class Shard:
     """The lists of a shard that some query asks for, by term number."""
 
@@ -343,44 +381,69 @@ class Shard:
         self.ends, self.tf_ends, self.bound_ends = ends // 2, tf_ends, bound_ends // _BOUND.itemsize
         self.n = np.diff(self.ends)
         self.big = np.diff(self.bound_ends) > 0
-        # lists of one block are scored at once: the block is the list
-        small = np.flatnonzero(~self.big)
-        at = _ranges(self.ends[small], self.n[small])
-        owner = np.repeat(small, self.n[small])
-        width = np.where(self.n > 0, np.diff(tf_ends) // np.maximum(self.n, 1), 1)[owner]
-        first = self.tf_ends[owner] + (at - self.ends[owner]) * width
-        tf = np.zeros(len(at))
-        for i in range(int(width.max(initial=0))):
-            inside = width > i
-            tf[inside] += self.tfs[first[inside] + i] * float(256**i)
-        self.small_docs = self.docs[at].astype(np.intp)
-        self.small_scores = weigh(self.weight[owner], tf, self.norm[self.small_docs])
-        self.small_ends = np.zeros(len(terms) + 1, np.int64)
-        np.cumsum(np.where(self.big, 0, self.n), out=self.small_ends[1:])
+        self.size = -(-len(docs) // BLOCK) * BLOCK
+        common = np.flatnonzero(self.big & (self.n * COMMON > len(docs)))
+        common = common[np.argsort(-self.n[common], kind="stable")][: ROWS // max(self.size, 1)]
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))  # row 0 is the commonest
+        self.rows = np.zeros((len(common), self.size))
+        self.flat_ends = np.zeros(len(terms) + 1, np.int64)
+        np.cumsum(np.where(self.row < 0, self.n, 0), out=self.flat_ends[1:])
+        self.flat_docs, self.flat_scores = np.empty(self.flat_ends[-1], np.intp), np.empty(self.flat_ends[-1])
+        width = np.where(self.n > 0, np.diff(tf_ends) // np.maximum(self.n, 1), 1)
+        lo = 0
+        while lo < len(terms):
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.ends[lo] + STEP, "right")) - 1)
+            owner = np.repeat(np.arange(lo, hi), self.n[lo:hi])
+            doc, wide = self.docs[self.ends[lo] : self.ends[hi]].astype(np.intp), width[owner]
+            first = self.tf_ends[owner] + (np.arange(self.ends[lo], self.ends[hi]) - self.ends[owner]) * wide
+            tf = np.zeros(len(doc))
+            for i in range(int(wide.max(initial=0))):
+                inside = wide > i
+                tf[inside] += self.tfs[first[inside] + i] * float(256**i)
+            scores, row = weigh(self.weight[owner], tf, self.norm[doc]), self.row[owner]
+            self.rows[row[row >= 0], doc[row >= 0]] = scores[row >= 0]
+            self.flat_docs[self.flat_ends[lo] : self.flat_ends[hi]] = doc[row < 0]
+            self.flat_scores[self.flat_ends[lo] : self.flat_ends[hi]] = scores[row < 0]
+            lo = hi
+        self.most = self._most(common)
         if stats is not None:
-            stats["scored"] += len(at)
-        self.lists: dict[int, Postings] = {}
-
-    def postings(self, i: int) -> Postings:
-        got = self.lists.get(i)
-        if got is None:
-            tfs = self.tfs[self.tf_ends[i] : self.tf_ends[i + 1]]
-            tfs = tfs.view(f"<u{len(tfs) // self.n[i]}")
-            got = Postings(float(self.weight[i]), self.docs[self.ends[i] : self.ends[i + 1]], tfs, self.bounds[self.bound_ends[i] : self.bound_ends[i + 1]], self.norm, self.mean, self.stats)
-            if self.big[i]:
-                self.lists[i] = got
-        return got
+            stats["scored"] += int(self.n.sum())
+
+    def _most(self, lists: np.ndarray) -> np.ndarray:
+        """Bounds of these lists for each block of documents: those of the blocks of postings that reach into it."""
+        out = np.zeros((len(lists), self.size // BLOCK))
+        blocks = np.diff(self.bound_ends)[lists]
+        at = _ranges(self.bound_ends[lists], blocks)
+        owner, last = np.repeat(lists, blocks), self.bounds["last"][at].astype(np.int64)
+        bound = weigh(self.weight[owner], self.bounds["tf"][at].astype(np.float64), K1 * (1 - B + B * self.bounds["least"][at] / self.mean))
+        begin = np.append(0, last[:-1] + 1)
+        begin[np.cumsum(blocks) - blocks] = 0
+        begin //= BLOCK
+        reach = last // BLOCK - begin + 1
+        np.maximum.at(out, (np.repeat(self.row[owner], reach), _ranges(begin, reach)), np.repeat(bound, reach))
+        return out
 
     def best(self, terms: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
         """The k best (score, place) of this shard's documents for a query's rising terms."""
         at = np.searchsorted(self.terms, terms)
         at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == terms] if len(self.terms) else at[:0]
-        if len(at) <= FEW:
-            return wand([self.postings(i) for i in at.tolist()], k, floor=floor)
-        small, big = at[~self.big[at]], at[self.big[at]]
-        own = _ranges(self.small_ends[small], self.n[small])
-        total = np.bincount(self.small_docs[own], self.small_scores[own], len(self.ids)).astype(np.float64)  # of nothing it is whole numbers
-        return wand_by_list([self.postings(i) for i in big[np.argsort(self.n[big], kind="stable")].tolist()], total, k, floor)
+        rows = self.row[at]
+        flat, rows = at[rows < 0], np.sort(rows[rows >= 0])[::-1]
+        big = self.big[flat]
+        own = _ranges(self.flat_ends[flat[~big]], self.n[flat[~big]])
+        spans = list(zip(self.flat_ends[flat[big]].tolist(), self.flat_ends[flat[big] + 1].tolist()))
+        docs = np.concatenate([self.flat_docs[own], *[self.flat_docs[a:b] for a, b in spans]])
+        scores = np.concatenate([self.flat_scores[own], *[self.flat_scores[a:b] for a, b in spans]])
+        total = np.bincount(docs, scores, self.size).astype(np.float64, copy=False)  # of nothing it is whole numbers
+        if len(rows):
+            seen, own = by_rows(self.rows, self.most, rows, total, k, floor)
+        else:
+            least = max(floor, float(np.partition(total, -k)[-k]) if k < self.size else 0.0)
+            seen = np.flatnonzero((total >= least) & (total > 0))
+            own = total[seen]
+        best = np.lexsort((self.ids[seen], -own))[:k]
+        return list(zip(own[best].tolist(), seen[best].tolist()))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -397,6 +460,24 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def unite(shards: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+    """(shard, unit, turn) for ``shards`` (shard, words) in an order by chance, and the units of each of three turns.
+
+    The first turn has a shard in 25, the second another four; a unit is what one task searches.
+    """
+    ends = [-(-len(shards) // 25), -(-len(shards) // 5), len(shards)]
+    of, unions, unit = [], [], -1
+    for turn, (lo, hi) in enumerate(zip([0, *ends], ends)):
+        unions.append([])
+        for i, (shard, words) in enumerate(shards[lo:hi]):
+            if not i or held + words > UNION:
+                unit, held = unit + 1, 0
+                unions[turn].append(unit)
+            held += words
+            of.append((shard, unit, turn))
+    return of, unions
+
+
 def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, id, score) for ``queries(query, term, df)``; ``indexed`` is a stored result of ``index``."""
     n, total = indexed.where("term is null").agg(F.sum("n"), F.sum("total")).first()
@@ -409,29 +490,35 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # Terms go by numbers
     terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
     numbered = scratch.keep(queries.select("query", "term", cut).join(terms.hint("merge"), "term").select("query", "slice", "term", "t", "df"), "numbered")
-    turn = F.when(F.pmod(F.xxhash64("shard"), F.lit(25)) == 0, 0).when(F.pmod(F.xxhash64("shard"), F.lit(25)) < 5, 1).otherwise(2).alias("turn")
-    parts = ["docs", "tfs", "bounds", turn]
+    of, unions = unite(indexed.where("term is null").select("shard", "total").orderBy(F.xxhash64("shard")).collect())  # a row per shard
+    of = F.broadcast(spark.createDataFrame(of, "shard bigint, unit int, turn int"))
+    parts = ["docs", "tfs", "bounds"]
     wanted = numbered.select("slice", "term", "t", "df").distinct()
     lists = indexed.where("term is not null").join(wanted.hint("merge"), "term").select("shard", "slice", "t", "df", *parts)
     every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     heads = indexed.where("term is null").select("shard", every, F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("df"), *parts)
-    used = scratch.keep(lists.unionByName(heads), "lists")
+    used = scratch.keep(lists.unionByName(heads).join(of, "shard"), "lists")
     asked = numbered.groupBy("query", "slice").agg(F.sort_array(F.collect_list("t")).alias("terms"))
     asked = scratch.keep(asked, "asked")  # as many terms as a query has
-    shards = indexed.where("term is null").select(F.col("shard").alias("at"), turn)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        head = left.filter(pc.is_null(left.column("t")))
-        docs = np.frombuffer(head.column("docs")[0].as_py(), _DOCS) if len(head) else np.zeros(0, _DOCS)
-        lists = left.filter(pc.is_valid(left.column("t"))).sort_by("t").combine_chunks()
-        columns = [lists.column(c).combine_chunks() for c in ("docs", "tfs", "bounds")]
-        shard = Shard(docs, np.asarray(lists.column("t")), np.asarray(lists.column("df")), columns, n, mean)
-        queries, floors = right.column("query").to_pylist(), right.column("floor").to_pylist()
+        queries, floors = right.column("query").to_pylist(), [x * UNIT for x in right.column("floor").to_pylist()]
         asked = right.column("terms").combine_chunks()
-        flat, ends, out = np.asarray(asked.flatten()), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(False))]), []
-        for i, (query, floor) in enumerate(zip(queries, floors)):
-            best = shard.best(flat[ends[i] : ends[i + 1]], k, floor * UNIT)
-            out += [(query, int(docs["id"][doc]), score / UNIT) for score, doc in best]
+        flat, ends = np.asarray(asked.flatten()), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(False))])
+        best: list[list[tuple[float, int]]] = [[] for _ in queries]
+        for own in pc.unique(left.column("shard")).to_pylist():
+            part = left.filter(pc.equal(left.column("shard"), own))
+            docs = np.frombuffer(part.filter(pc.is_null(part.column("t"))).column("docs")[0].as_py(), _DOCS)
+            lists = part.filter(pc.is_valid(part.column("t"))).sort_by("t").combine_chunks()
+            columns = [lists.column(c).combine_chunks() for c in ("docs", "tfs", "bounds")]
+            shard = Shard(docs, np.asarray(lists.column("t")), np.asarray(lists.column("df")), columns, n, mean)
+            for i, floor in enumerate(floors):
+                found = shard.best(flat[ends[i] : ends[i + 1]], k, floor)
+                if found:
+                    best[i] = sorted([*best[i], *((-score, int(docs["id"][doc])) for score, doc in found)])[:k]
+                    if len(best[i]) == k:
+                        floors[i] = max(floor, -best[i][-1][0])
+        out = [(query, doc, -score / UNIT) for query, found in zip(queries, best) for score, doc in found]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
 
@@ -439,11 +526,11 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ranks = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank")
     best = spark.createDataFrame([], schema + ", rank int")
     for turn in range(3):
-        now = F.broadcast(shards.where(F.col("turn") == turn).select("at"))  # a number per shard
+        now = F.broadcast(spark.createDataFrame([(u,) for u in unions[turn]], "at int"))
         floor = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
         right = asked.join(floor, "query", "left").crossJoin(now).select("at", "slice", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
         left = used.where(F.col("turn") == turn).drop("turn")
-        found = left.groupBy("shard", "slice").cogroup(right.groupBy("at", "slice")).applyInArrow(run, schema)
+        found = left.groupBy("unit", "slice").cogroup(right.groupBy("at", "slice")).applyInArrow(run, schema)
         best = scratch.keep(best.drop("rank").unionByName(found).select("query", "id", "score", ranks).where(F.col("rank") <= k), "best")
     return best.select("query", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score")
 
