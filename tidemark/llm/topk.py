@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge.
+"""Exact BM25 top-k search: an inverted index per shard, block-max pruning list by list, and an exact merge.
 
 Indexing: a task turns the documents of its partition into shards of bounded size. A shard has a row per term with
 its postings (documents' places and term frequencies) and one row for its documents (ids and rising lengths). A
@@ -10,7 +10,7 @@ over all shards, so a score does not depend on the sharding.
 Searching: postings of the terms asked for are gathered by unit, a few shards that one task searches one after the
 other, and slice of the queries, a slice being a bounded number of queries, so that neither many documents nor many
 queries make a task long, and queries are sent once per unit. A query goes list by list, all documents of a shard at
-once. Lists of up to a 16th of the shard's documents are added up whole. The commoner ones stand as rows of scores,
+once. Lists of up to a 24th of the shard's documents are added up whole. The commoner ones stand as rows of scores,
 with a bound for every block of documents that comes from the bounds in the index; they follow in steps from the rarest
 to the commonest. A document takes part in a step only if its score so far and its block's bounds of all remaining rows
 reach the k-th score. Documents of a shard stand in order of length, which keeps the bounds of a block close. Each
@@ -52,7 +52,7 @@ FEW, SLICE = 16, 1 << 14
 #: Looking a document up in a list costs as much as adding so many postings.
 LOOKUP = 16
 #: A list with more than this share of a shard's documents may become a row of scores; the rows hold so many numbers.
-COMMON, ROWS = 16, 6_000_000
+COMMON, ROWS = 24, 6_000_000
 #: Words of the shards that one task searches; postings that are scored at a time.
 UNION, STEP = 18_000_000, 1 << 18
 UNIT = 2.0**32
@@ -346,7 +346,7 @@ def by_rows(rows: np.ndarray, most: np.ndarray, at: np.ndarray, total: np.ndarra
         few = np.argpartition(total, -4 * k)[-4 * k :] if 4 * k < size else np.arange(size)
         if k <= len(few):
             least = float(np.partition(total[few] + rows[at[:, None], few].sum(0), -k)[-k])
-    cuts = np.arange(0, len(at), max(4, -(-len(at) // 5)))
+    cuts = np.arange(0, len(at), max(4, -(-len(at) // 5)))[:4]
     rest = np.zeros((len(cuts) + 1, most.shape[1]))  # rest[i]: the block's maxima from the i-th cut on
     rest[:-1] = np.cumsum(np.add.reduceat(most[at], cuts, axis=0)[::-1], axis=0)[::-1]
     seen = np.flatnonzero(total.reshape(-1, BLOCK) >= (least - rest[0])[:, None])
@@ -389,7 +389,7 @@ class Shard:
         self.rows = np.zeros((len(common), self.size))
         self.flat_ends = np.zeros(len(terms) + 1, np.int64)
         np.cumsum(np.where(self.row < 0, self.n, 0), out=self.flat_ends[1:])
-        self.flat_docs, self.flat_scores = np.empty(self.flat_ends[-1], np.intp), np.empty(self.flat_ends[-1])
+        self.flat = np.empty(self.flat_ends[-1], np.int64)  # score and document in one number, so that they are gathered at once
         width = np.where(self.n > 0, np.diff(tf_ends) // np.maximum(self.n, 1), 1)
         lo = 0
         while lo < len(terms):
@@ -403,8 +403,7 @@ class Shard:
                 tf[inside] += self.tfs[first[inside] + i] * float(256**i)
             scores, row = weigh(self.weight[owner], tf, self.norm[doc]), self.row[owner]
             self.rows[row[row >= 0], doc[row >= 0]] = scores[row >= 0]
-            self.flat_docs[self.flat_ends[lo] : self.flat_ends[hi]] = doc[row < 0]
-            self.flat_scores[self.flat_ends[lo] : self.flat_ends[hi]] = scores[row < 0]
+            self.flat[self.flat_ends[lo] : self.flat_ends[hi]] = scores[row < 0].astype(np.int64) << 16 | doc[row < 0]
             lo = hi
         self.most = self._most(common)
         if stats is not None:
@@ -425,17 +424,28 @@ class Shard:
         return out
 
     def best(self, terms: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
-        """The k best (score, place) of this shard's documents for a query's rising terms."""
+        """The k best (score, place) of this shard's documents for a query's terms."""
+        return self.best_at(self.find(terms), k, floor)
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, -1 for none."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
         at = np.searchsorted(self.terms, terms)
-        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == terms] if len(self.terms) else at[:0]
+        return np.where(self.terms[np.minimum(at, len(self.terms) - 1)] == terms, at, -1)
+
+    def best_at(self, at: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+        """As ``best``, for the numbers of lists; -1 is none."""
+        at = at[at >= 0]
+        if not len(at):
+            return []
         rows = self.row[at]
         flat, rows = at[rows < 0], np.sort(rows[rows >= 0])[::-1]
         big = self.big[flat]
         own = _ranges(self.flat_ends[flat[~big]], self.n[flat[~big]])
-        spans = list(zip(self.flat_ends[flat[big]].tolist(), self.flat_ends[flat[big] + 1].tolist()))
-        docs = np.concatenate([self.flat_docs[own], *[self.flat_docs[a:b] for a, b in spans]])
-        scores = np.concatenate([self.flat_scores[own], *[self.flat_scores[a:b] for a, b in spans]])
-        total = np.bincount(docs, scores, self.size).astype(np.float64, copy=False)  # of nothing it is whole numbers
+        spans = [slice(*x) for x in zip(self.flat_ends[flat[big]].tolist(), self.flat_ends[flat[big] + 1].tolist())]
+        got = np.concatenate([self.flat[own], *map(self.flat.__getitem__, spans)])
+        total = np.bincount(got & 0xFFFF, got >> 16, self.size).astype(np.float64, copy=False)  # of nothing it is whole numbers
         if len(rows):
             seen, own = by_rows(self.rows, self.most, rows, total, k, floor)
         else:
@@ -512,12 +522,14 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             lists = part.filter(pc.is_valid(part.column("t"))).sort_by("t").combine_chunks()
             columns = [lists.column(c).combine_chunks() for c in ("docs", "tfs", "bounds")]
             shard = Shard(docs, np.asarray(lists.column("t")), np.asarray(lists.column("df")), columns, n, mean)
+            at = shard.find(flat)
             for i, floor in enumerate(floors):
-                found = shard.best(flat[ends[i] : ends[i + 1]], k, floor)
+                found = shard.best_at(at[ends[i] : ends[i + 1]], k, floor)
                 if found:
                     best[i] = sorted([*best[i], *((-score, int(docs["id"][doc])) for score, doc in found)])[:k]
                     if len(best[i]) == k:
                         floors[i] = max(floor, -best[i][-1][0])
+            del shard, part, lists, columns, at  # before the next one is made
         out = [(query, doc, -score / UNIT) for query, found in zip(queries, best) for score, doc in found]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
