@@ -6,6 +6,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,6 +173,53 @@ def test_shard_search_is_exact(seed, n_terms, k, floored, n):
         assert [(-s, int(docs["id"][d])) for s, d in got] == [x for x in want if -x[0] >= floor]
 
 
+def test_a_task_holds_one_shard_at_a_time():
+    """The rows of a unit of many shards are not gathered: what a task takes does not grow with the shards of its unit."""
+    rng = np.random.default_rng(11)
+    n, n_terms, n_shards, k = 6000, 60, 12, 10
+    schema = pa.schema([("unit", pa.int64()), ("slice", pa.int32()), ("shard", pa.int64()), ("t", pa.int64()), ("df", pa.int64()), *((c, pa.binary()) for c in ("docs", "tfs", "bounds")), ("query", pa.int64()), ("terms", pa.list_(pa.int64())), ("floor", pa.float64())])
+    asked = {7: [0, 3, 9], 8: [1, 59, 1000], 9: list(range(0, 60, 2)), 10: [1000]}
+    docs_of = [np.sort(rng.choice(n * n_shards, n, replace=False)) for _ in range(n_shards)]
+    lengths, total, seen, most = np.sort(rng.choice(np.array([40, 100, 300], "<u4"), n)), {q: {} for q in asked}, 0, 0
+
+    def rows(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
+
+    def batches():
+        nonlocal seen, most
+        for unit in (4, 5):
+            yield rows(unit=[unit] * 4, slice=[0] * 4, query=list(asked), terms=list(asked.values()), floor=[0.0] * 4)
+            yield rows(unit=[unit] * 0)
+            for i in range(unit - 4, n_shards, 2):
+                docs = np.empty(n, topk._DOCS)
+                docs["id"], docs["n"] = docs_of[i], lengths
+                lists = [np.flatnonzero(rng.random(n) < share) for share in rng.choice([0.002, 0.1, 0.6], n_terms)]
+                tfs = [rng.integers(1, 4, len(x)).astype(np.uint8) for x in lists]
+                bounds = [topk._bounds(x.astype("<u2"), t.astype("<u4"), lengths, np.array([0, len(x)]))[0] for x, t in zip(lists, tfs)]
+                for q, terms in asked.items():
+                    for t in terms:
+                        if t < n_terms:
+                            add = topk.weigh(topk.idf(n * n_shards, 900), tfs[t].astype(float), topk.K1 * (1 - topk.B + topk.B * lengths[lists[t]] / 100.0))
+                            for d, x in zip(docs["id"][lists[t]].tolist(), add.tolist()):
+                                total[q][i, d] = total[q].get((i, d), 0) + x
+                made = rows(unit=[unit] * (n_terms + 1), slice=[0] * (n_terms + 1), shard=[i] * (n_terms + 1), t=[None, *range(n_terms)], df=[None, *[900] * n_terms], docs=[docs.tobytes(), *(x.astype("<u2").tobytes() for x in lists)], tfs=[None, *(t.tobytes() for t in tfs)], bounds=[None, *(b.tobytes() for b in bounds)])
+                seen += made.nbytes
+                for lo in range(0, made.num_rows, 25):  # a batch ends anywhere
+                    yield made.slice(lo, 25)
+                del made
+                most = max(most, pa.total_allocated_bytes() - before)
+
+    before, got = pa.total_allocated_bytes(), {}
+    for b in topk.search_sorted(batches(), n * n_shards, 100.0, k):
+        for r in b.to_pylist():
+            got.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    for q in asked:
+        want = sorted((-x / topk.UNIT, d) for (_, d), x in total[q].items())[:k]
+        assert sorted(got.get(q, []))[:k] == want
+    assert most < seen / 3
+
+
 def test_work_of_a_short_query_is_bounded():
     """Searching a shard makes few calls whatever its size: a walk document by document makes some for each."""
     rng = np.random.default_rng(5)

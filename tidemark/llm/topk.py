@@ -9,7 +9,8 @@ over all shards, so a score does not depend on the sharding.
 
 Searching: postings of the terms asked for are gathered by unit, a few shards that one task searches one after the
 other, and slice of the queries, a slice being a bounded number of queries, so that neither many documents nor many
-queries make a task long, and queries are sent once per unit. A query goes list by list, all documents of a shard at
+queries make a task long, and queries are sent once per unit. A task's rows come in order, its queries and then shard by
+shard, and it holds the lists of one shard at a time; what it frees goes back to the system. A query goes list by list, all documents of a shard at
 once. Lists of up to a 24th of the shard's documents are added up whole. The commoner ones stand as rows of scores,
 with a bound for every block of documents that comes from the bounds in the index; they follow in steps from the rarest
 to the commonest. A document takes part in a step only if its score so far and its block's bounds of all remaining rows
@@ -30,15 +31,15 @@ separate documents. Empty tables, of documents or of queries, give no rows; othe
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import Scratch, bounded_batches
@@ -71,6 +72,14 @@ _SCHEMA = "shard bigint, term string, n bigint, total bigint, docs binary, tfs b
 _KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def _give_back() -> None:
+    """Return to the system what freed arrays leave in this worker; it lives on, and else keeps the most that a task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values that are the stretches of an array between ``ends``."""
     offsets = ((ends - ends[0]) * data.itemsize).astype(np.int32)
@@ -103,15 +112,20 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))  # by length: blocks have close bounds
         doc = np.repeat(np.arange(len(order), dtype=np.uint16), [len(terms[i]) for i in order])
         tf = np.concatenate([tfs[i] for i in order])
+        tfs.clear()
         docs = np.empty(len(order), _DOCS)
         docs["id"], docs["n"] = [ids[i] for i in order], [sizes[i] for i in order]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([shard], [None], [len(order)], [int(docs["n"].sum())], [docs.tobytes()], [None], [None]), _KINDS)], names)
-        terms = np.concatenate([terms[i] for i in order])
-        by_term = np.argsort(terms, kind="stable")
-        doc, tf, sizes = doc[by_term], tf[by_term], np.bincount(terms, minlength=len(vocabulary))
+        flat = np.concatenate([terms[i] for i in order])
+        terms.clear()
+        sizes, by_term = np.bincount(flat, minlength=len(vocabulary)), np.argsort(flat, kind="stable")
+        del flat
+        doc, tf = doc[by_term], tf[by_term]
+        del by_term
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds, where = _bounds(doc, tf, docs["n"], ends)
         words = list(vocabulary)
+        vocabulary.clear()
         for at in range(0, len(words), 20_000):
             to = min(at + 20_000, len(words))
             part = tf[ends[at] : ends[to]]
@@ -133,8 +147,11 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 if words >= SHARD or len(held[0]) == DOCS:
                     yield from flush(shard, *held)
                     shard, held, words = shard + 1, ([], [], [], [], _Vocabulary()), 0
+                    _give_back()
         if held[0]:
             yield from flush(shard, *held)
+        del held
+        _give_back()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string").alias("_text")).mapInArrow(run, _SCHEMA)
 
@@ -458,10 +475,11 @@ class Shard:
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, null as empty, and where each value ends (0 first)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.fill_null(b"").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -488,6 +506,85 @@ def unite(shards: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], li
     return of, unions
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[pa.RecordBatch]]]:
+    """(unit, slice, shard) and its rows, of batches in that order; shard is -1 where it is null. The caller may empty the list."""
+    key, held = None, []
+    for b in batches:
+        keys = np.stack([np.asarray(b.column(c).fill_null(-1)) for c in ("unit", "slice", "shard")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                now = tuple(keys[:, lo].tolist())
+                if now != key and held:
+                    yield key, held
+                    held = []
+                key = now
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, held
+
+
+class Asked:
+    """The queries of a slice and the best found for them so far; ``rows`` (query, terms, floor) as one table."""
+
+    def __init__(self, rows: pa.Table, k: int) -> None:
+        self.queries, self.k = rows.column("query").to_pylist(), k
+        self.floors = [x * UNIT for x in rows.column("floor").to_pylist()]
+        terms = rows.column("terms").combine_chunks()
+        self.flat, self.ends = np.asarray(terms.flatten()), np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(False))])
+        self.best: list[list[tuple[float, int]]] = [[] for _ in self.queries]
+
+    def search(self, shard: Shard) -> None:
+        for lo in range(0, len(self.queries), 512):  # the lists' numbers take as much memory as the terms
+            ends = self.ends[lo : lo + 513]
+            at, ends = shard.find(self.flat[ends[0] : ends[-1]]), (ends - ends[0]).tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:]), lo):
+                found = shard.best_at(at[a:b], self.k, self.floors[i])
+                if found:
+                    best = self.best[i] = sorted([*self.best[i], *((-score, int(shard.ids[doc])) for score, doc in found)])[: self.k]
+                    if len(best) == self.k:
+                        self.floors[i] = max(self.floors[i], -best[-1][0])
+
+    def results(self) -> pa.RecordBatch:
+        out = [(query, doc, -score / UNIT) for query, found in zip(self.queries, self.best) for score, doc in found]
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
+
+
+def search_sorted(batches: Iterator[pa.RecordBatch], n: int, mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    """(query, id, score) for rows by unit, slice, shard and t: a slice's queries, whose shard is null, then shard by shard its
+    documents, whose t is null, and its lists. One shard is held at a time, however many a unit has."""
+    group, asked = None, None
+    for (unit, cut, own), rows in stretches(batches):
+        if (unit, cut) != group:
+            if asked:
+                yield asked.results()
+            group, asked = (unit, cut), None
+        part = pa.Table.from_batches(rows)
+        rows.clear()
+        if own < 0:
+            asked = Asked(part.select(["query", "terms", "floor"]), k)
+        elif asked:
+            part = part.select(["t", "df", "docs", "tfs", "bounds"])
+            docs, part = np.frombuffer(part.column("docs")[0].as_py(), _DOCS), part.slice(1)
+            t, df, *columns = (part.column(c).combine_chunks() for c in part.column_names)
+            del part
+            shard = Shard(docs, np.asarray(t), np.asarray(df), columns, n, mean)
+            del t, df, columns
+            asked.search(shard)
+            del shard, docs
+            _give_back()
+    if asked:
+        yield asked.results()
+    del asked
+    _give_back()
+
+
+def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Whole numbers as a table, by Arrow: a list would start further Python workers on the executors."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names))
+
+
 def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, id, score) for ``queries(query, term, df)``; ``indexed`` is a stored result of ``index``."""
     n, total = indexed.where("term is null").agg(F.sum("n"), F.sum("total")).first()
@@ -501,7 +598,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     terms = scratch.keep(queries.groupBy("term").agg(F.max("df").alias("df")).select("term", "df", F.monotonically_increasing_id().alias("t")), "terms")
     numbered = scratch.keep(queries.select("query", "term", cut).join(terms.hint("merge"), "term").select("query", "slice", "term", "t", "df"), "numbered")
     of, unions = unite(indexed.where("term is null").select("shard", "total").orderBy(F.xxhash64("shard")).collect())  # a row per shard
-    of = F.broadcast(spark.createDataFrame(of, "shard bigint, unit int, turn int"))
+    of = F.broadcast(_rows(spark, of, ["shard", "unit", "turn"]))
     parts = ["docs", "tfs", "bounds"]
     wanted = numbered.select("slice", "term", "t", "df").distinct()
     lists = indexed.where("term is not null").join(wanted.hint("merge"), "term").select("shard", "slice", "t", "df", *parts)
@@ -511,38 +608,16 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = numbered.groupBy("query", "slice").agg(F.sort_array(F.collect_list("t")).alias("terms"))
     asked = scratch.keep(asked, "asked")  # as many terms as a query has
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, floors = right.column("query").to_pylist(), [x * UNIT for x in right.column("floor").to_pylist()]
-        asked = right.column("terms").combine_chunks()
-        flat, ends = np.asarray(asked.flatten()), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(False))])
-        best: list[list[tuple[float, int]]] = [[] for _ in queries]
-        for own in pc.unique(left.column("shard")).to_pylist():
-            part = left.filter(pc.equal(left.column("shard"), own))
-            docs = np.frombuffer(part.filter(pc.is_null(part.column("t"))).column("docs")[0].as_py(), _DOCS)
-            lists = part.filter(pc.is_valid(part.column("t"))).sort_by("t").combine_chunks()
-            columns = [lists.column(c).combine_chunks() for c in ("docs", "tfs", "bounds")]
-            shard = Shard(docs, np.asarray(lists.column("t")), np.asarray(lists.column("df")), columns, n, mean)
-            at = shard.find(flat)
-            for i, floor in enumerate(floors):
-                found = shard.best_at(at[ends[i] : ends[i + 1]], k, floor)
-                if found:
-                    best[i] = sorted([*best[i], *((-score, int(docs["id"][doc])) for score, doc in found)])[:k]
-                    if len(best[i]) == k:
-                        floors[i] = max(floor, -best[i][-1][0])
-            del shard, part, lists, columns, at  # before the next one is made
-        out = [(query, doc, -score / UNIT) for query, found in zip(queries, best) for score, doc in found]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query", "id", "score"])
-
     schema = "query bigint, id bigint, score double"
     ranks = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank")
-    best = spark.createDataFrame([], schema + ", rank int")
+    best = spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (("query", "long"), ("id", "long"), ("score", "double"), ("rank", "int"))))
     for turn in range(3):
-        now = F.broadcast(spark.createDataFrame([(u,) for u in unions[turn]], "at int"))
+        now = F.broadcast(_rows(spark, [(u,) for u in unions[turn]], ["unit"]))
         floor = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-        right = asked.join(floor, "query", "left").crossJoin(now).select("at", "slice", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+        right = asked.join(floor, "query", "left").crossJoin(now).select("unit", "slice", "query", "terms", F.coalesce("floor", F.lit(0.0)).alias("floor"))
         left = used.where(F.col("turn") == turn).drop("turn")
-        found = left.groupBy("unit", "slice").cogroup(right.groupBy("at", "slice")).applyInArrow(run, schema)
+        rows = left.unionByName(right, allowMissingColumns=True).repartition("unit", "slice").sortWithinPartitions("unit", "slice", "shard", "t")
+        found = rows.mapInArrow(lambda batches: search_sorted(batches, n, mean, k), schema)
         best = scratch.keep(best.drop("rank").unionByName(found).select("query", "id", "score", ranks).where(F.col("rank") <= k), "best")
     return best.select("query", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score")
 
